@@ -46,35 +46,43 @@ def with_pred(df: DataFrame, p=("p0", "p1", "p2"), out: str = "pred") -> DataFra
 # ---------------------------------------------------------------------------
 # counts and metrics
 # ---------------------------------------------------------------------------
-def class_counts(df: DataFrame, keys=(), y: str = "y", pred: str = "pred",
-                 weight: str | None = None) -> DataFrame:
-    """Per key: n, support s_c, predicted q_c, true positives t_c."""
+def count_aggs(y: str = "y", pred: str = "pred", weight: str | None = None,
+               prefix: str = "", with_n: bool = True) -> list:
+    """Aggregate columns: n, support s_c, predicted q_c, true positives t_c."""
     w = F.col(weight) if weight else F.lit(1)
     yc, pc = F.col(y), F.col(pred)
-    aggs = [F.sum(w).cast("bigint").alias("n")]
+    aggs = [F.sum(w).cast("bigint").alias(f"{prefix}n")] if with_n else []
     for c in CLASSES:
-        aggs += [count_true(yc == c, w).alias(f"s{c}"),
-                 count_true(pc == c, w).alias(f"q{c}"),
-                 count_true((yc == c) & (pc == c), w).alias(f"t{c}")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [count_true(yc == c, w).alias(f"{prefix}s{c}"),
+                 count_true(pc == c, w).alias(f"{prefix}q{c}"),
+                 count_true((yc == c) & (pc == c), w).alias(f"{prefix}t{c}")]
+    return aggs
 
 
-def with_metrics(counts: DataFrame) -> DataFrame:
+def class_counts(df: DataFrame, keys=(), y: str = "y", pred: str = "pred",
+                 weight: str | None = None) -> DataFrame:
+    """Per key: n, support s_c, predicted q_c, true positives t_c."""
+    return df.groupBy(*keys).agg(*count_aggs(y, pred, weight))
+
+
+def with_metrics(counts: DataFrame, prefix: str = "", n_col: str = "n") -> DataFrame:
     """Add precision/recall/F1 per class, weighted and macro F1, accuracy."""
+    p = prefix
     cols = {}
     for c in CLASSES:
-        s, q, t = F.col(f"s{c}"), F.col(f"q{c}"), F.col(f"t{c}")
-        cols[f"prec{c}"] = ratio(t, q)
-        cols[f"rec{c}"] = ratio(t, s)
-        cols[f"f1_{c}"] = ratio(2 * t, s + q)
+        s, q, t = F.col(f"{p}s{c}"), F.col(f"{p}q{c}"), F.col(f"{p}t{c}")
+        cols[f"{p}prec{c}"] = ratio(t, q)
+        cols[f"{p}rec{c}"] = ratio(t, s)
+        cols[f"{p}f1_{c}"] = ratio(2 * t, s + q)
     out = counts.withColumns(cols)
-    f1 = [F.col(f"f1_{c}") for c in CLASSES]
-    s = [F.col(f"s{c}") for c in CLASSES]
-    present = [F.when(F.col(f"s{c}") + F.col(f"q{c}") > 0, 1).otherwise(0) for c in CLASSES]
+    f1 = [F.col(f"{p}f1_{c}") for c in CLASSES]
+    s = [F.col(f"{p}s{c}") for c in CLASSES]
+    present = [F.when(F.col(f"{p}s{c}") + F.col(f"{p}q{c}") > 0, 1).otherwise(0) for c in CLASSES]
+    n = F.col(n_col)
     return out.withColumns({
-        "wf1": ratio(f1[0] * s[0] + f1[1] * s[1] + f1[2] * s[2], F.col("n")),
-        "macro_f1": ratio(f1[0] + f1[1] + f1[2], present[0] + present[1] + present[2]),
-        "accuracy": ratio(F.col("t0") + F.col("t1") + F.col("t2"), F.col("n")),
+        f"{p}wf1": ratio(f1[0] * s[0] + f1[1] * s[1] + f1[2] * s[2], n),
+        f"{p}macro_f1": ratio(f1[0] + f1[1] + f1[2], present[0] + present[1] + present[2]),
+        f"{p}accuracy": ratio(F.col(f"{p}t0") + F.col(f"{p}t1") + F.col(f"{p}t2"), n),
     })
 
 

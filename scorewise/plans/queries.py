@@ -38,10 +38,14 @@ BLEND_WEIGHTS = normalised(PUBLISHED_RAW_WEIGHTS)
 
 
 def R(cols: str) -> str:
-    """Oracle select list helper: 'a, ~b' -> 'a, ROUND(b, 6) AS b'."""
+    """Oracle select list helper: 'a, ~b, ~x AS y' -> 'a, ROUND(b, 6) AS b, ROUND(x, 6) AS y'."""
     out = []
     for c in (x.strip() for x in cols.split(",")):
-        out.append(f"ROUND({c[1:]}, 6) AS {c[1:]}" if c.startswith("~") else c)
+        if not c.startswith("~"):
+            out.append(c)
+            continue
+        expr, _, alias = c[1:].partition(" AS ")
+        out.append(f"ROUND({expr}, 6) AS {alias or expr}")
     return ", ".join(out)
 
 

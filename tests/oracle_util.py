@@ -43,7 +43,7 @@ def _rows(cols, rows):
 
 
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
-    from scorewise.plans.queries import REGISTRY
+    from scorewise.plans.catalog import REGISTRY
     fn, oracle = REGISTRY[name]
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -72,7 +72,7 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
 
 
 def main(argv):
-    from scorewise.plans.queries import REGISTRY
+    from scorewise.plans.catalog import REGISTRY
     from scorewise.session import local_session
     sf_dir = "/root/testdata/sf0.01"
     names = [a for a in argv if not a.startswith("/")] or list(REGISTRY)
