@@ -89,11 +89,11 @@ SQL_DERIVED = {
     "insurance_score": SQL_SCORES["insurance_score"],
     "perception_action_gap": f"{si('perception_insurance_important')} - {si('has_insurance')}",
     "business_age_total_months": _MONTHS,
-    "turnover_per_month": f"ROUND(LN(1 + GREATEST(business_turnover, {dbl(0.0)}) / {_MONTHS}), 6)",
+    "turnover_per_month": f"LN(1 + GREATEST(business_turnover, {dbl(0.0)}) / {_MONTHS})",
     "cashflow_risk_score": SQL_SCORES["cashflow_risk_score"],
     "growth_mindset_score": SQL_SCORES["growth_mindset_score"],
     "informal_dependency": SQL_SCORES["informal_dependency"],
-    "turnover_z_country": f"ROUND((business_turnover - ct_mean) / GREATEST(COALESCE(ct_std, {dbl(1.0)}), {_FLOOR}), 6)",
+    "turnover_z_country": f"(business_turnover - ct_mean) / GREATEST(COALESCE(ct_std, {dbl(1.0)}), {_FLOOR})",
     "insurance_barrier_score": SQL_SCORES["insurance_barrier_score"],
     "digital_maturity_score": SQL_SCORES["digital_maturity_score"],
     "age_stability_interact": f"owner_age * {si('attitude_stable_business_environment')}",
@@ -114,8 +114,13 @@ def clean_survey_y(spark, d) -> DataFrame:
     return cl.read_scored_table(fx.survey(spark, d))
 
 
-def _cols_sql(names) -> str:
-    return ", ".join(f"{SQL_DERIVED[n]} AS {n}" for n in names)
+ROUNDED_DERIVED = ("turnover_per_month", "turnover_z_country")
+
+
+def _cols_sql(names, raw: bool = False) -> str:
+    """Output form rounds the log / aggregate based columns; ``raw`` keeps them."""
+    return ", ".join(f"ROUND({SQL_DERIVED[n]}, 6) AS {n}" if n in ROUNDED_DERIVED and not raw
+                     else f"{SQL_DERIVED[n]} AS {n}" for n in names)
 
 
 # ---------------------------------------------------------------------------
@@ -267,7 +272,7 @@ def q_country_stats(spark, d):
 
 
 @register("zscore_by_country", oracle(*CLEAN_CTES, STATS, body=f"""
-SELECT id, country, {SQL_DERIVED['turnover_z_country']} AS turnover_z_country
+SELECT id, country, {_cols_sql(['turnover_z_country'])}
 FROM clean LEFT JOIN stats USING (country)"""))
 def q_zscore_by_country(spark, d):
     c = clean_survey_y(spark, d)
@@ -281,8 +286,12 @@ def q_zscore_by_country(spark, d):
     "kst", f"""SELECT k, country, AVG(business_turnover) AS ct_mean,
       COALESCE(STDDEV_SAMP(business_turnover), {dbl(1.0)}) AS ct_std
       FROM ex WHERE role = 'train' AND country IS NOT NULL GROUP BY k, country"""), body=f"""
-SELECT ex.k, id, role, {SQL_DERIVED['turnover_z_country']} AS turnover_z_country
+SELECT ex.k, id, role, {_cols_sql(['turnover_z_country'])}
 FROM ex LEFT JOIN kst ON ex.k = kst.k AND ex.country = kst.country"""))
 def q_fold_country_z(spark, d):
     c = fo.assign_folds(clean_survey_y(spark, d))
     return round_only(fe.fold_country_z(c), ["turnover_z_country"])
+
+
+DERIVED_RAW = ("derived", f"SELECT clean.*, {_cols_sql(fe.DERIVED_COLUMNS, raw=True)} "
+                          f"FROM clean LEFT JOIN stats USING (country)")
