@@ -8,8 +8,9 @@ Scale notes
   window over that small table, and subtract the row's own fold.
 * Every fitted table is one row per key (or per key and fold); such tables are
   broadcast only after their size is checked.
-* Global shares are three numbers: they are attached with a window over the
-  (small) per-key table, not with a join to a one-row table.
+* Global shares are three numbers: inside a fit they ride on the small
+  per-key table as a window total; for a lookup they are fitted parameters
+  (three floats on the driver), never a join with a one-row table.
 """
 
 from __future__ import annotations
@@ -85,23 +86,30 @@ def global_shares(train: DataFrame, y: str = "y") -> list[float]:
 
 
 def target_encode_lookup(train: DataFrame, rows: DataFrame, key: str, y: str = "y",
-                         alpha: float = TE_SMOOTH_ALPHA, keep=("id",)) -> DataFrame:
+                         alpha: float = TE_SMOOTH_ALPHA, keep=("id",), prefix: str = "te") -> DataFrame:
     """Encode ``rows`` with the map fitted on ``train``; keys unseen in
-    training get the training part's global shares."""
+    training get the training part's global shares.  ``keep=None`` keeps
+    every column of ``rows``."""
     te = target_encoding_map(train, key, y, alpha)
     g = global_shares(train, y)
-    m = checked_broadcast(te.select(key, *[f"te{c}" for c in CLASSES]))
-    out = rows.select(*keep, key).join(m, key, "left")
-    return out.select(*keep, *[F.coalesce(F.col(f"te{c}"), dlit(g[c])).alias(f"te{c}") for c in CLASSES])
+    m = checked_broadcast(te.select(key, *[F.col(f"te{c}").alias(f"_m{c}") for c in CLASSES]))
+    base = rows if keep is None else rows.select(*keep, key)
+    out = base.join(m, key, "left")
+    kept = [c for c in base.columns if keep is None or c in keep]
+    return out.select(*kept, *[F.coalesce(F.col(f"_m{c}"), dlit(g[c])).alias(f"{prefix}{c}")
+                               for c in CLASSES])
 
 
 def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id",
                         n_folds: int = CLUSTER_TE_FOLDS, seed: int = SEED + INNER_FOLD_SEED_OFFSET,
-                        alpha: float = TE_SMOOTH_ALPHA) -> DataFrame:
+                        alpha: float = TE_SMOOTH_ALPHA, keep_all: bool = False,
+                        prefix: str = "te") -> DataFrame:
     """Each row encoded from the other inner folds only (no leakage of its own
     label); keys absent from the other folds get the global shares.  Global
-    shares come from the whole training part."""
-    f = assign_folds(df.select(id_col, y, key), k=n_folds, seed=seed, id_col=id_col, y_col=y, out="_if")
+    shares come from the whole training part.  ``keep_all`` returns every
+    input column plus the encodings (no join back by id needed)."""
+    src = df if keep_all else df.select(id_col, y, key)
+    f = assign_folds(src, k=n_folds, seed=seed, id_col=id_col, y_col=y, out="_if")
     cell = f.groupBy(key, "_if").agg(F.count(F.lit(1)).alias("_nf"), *_class_count_aggs(y))
     by_key = Window.partitionBy(key)
     everything = Window.partitionBy()                 # keys x folds rows
@@ -112,10 +120,13 @@ def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id
     enc = {}
     for c in CLASSES:
         other_c = F.sum(f"n{c}").over(by_key) - F.col(f"n{c}")
-        enc[f"te{c}"] = F.when(F.col("_no") > 0, _smoothed(other_c, F.col("_no"), F.col(f"g{c}"), alpha)) \
+        enc[f"{prefix}{c}"] = F.when(F.col("_no") > 0, _smoothed(other_c, F.col("_no"), F.col(f"g{c}"), alpha)) \
             .otherwise(F.col(f"g{c}"))
     small = checked_broadcast(t.select(key, "_if", *[v.alias(k) for k, v in enc.items()]))
-    return f.join(small, [key, "_if"], "left").select(id_col, *[f"te{c}" for c in CLASSES])
+    out = f.join(small, [key, "_if"], "left").drop("_if")
+    if keep_all:
+        return out
+    return out.select(id_col, *[f"{prefix}{c}" for c in CLASSES])
 
 
 # ---------------------------------------------------------------------------
@@ -139,6 +150,8 @@ def category_codes(train: DataFrame, rows: DataFrame, cols, as_text_missing: boo
         v = F.coalesce(F.col(c), F.lit("nan")) if as_text_missing else F.col(c)
         out = (out.withColumn("_v", v).join(codes, "_v", "left").drop("_v")
                .withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1))))
+    if keep is None:
+        return out
     return out.select(*keep, *[f"{c}_code" for c in cols])
 
 
