@@ -67,9 +67,14 @@ def weighted_blend(df: DataFrame, weights, models=("cb", "lg", "xg"), keep=("id"
                               .alias(f"p{c}") for c in range(3)])
 
 
-def decision_input(oof: DataFrame, first: str = "cb") -> DataFrame:
-    """Rows for the decisions: y, equal blend p0..p2, first model's scores c0..c2."""
-    blend = [(F.col(f"cb{c}") + F.col(f"lg{c}") + F.col(f"xg{c}")) / 3 for c in range(3)]
+def decision_input(oof: DataFrame, first: str = "cb", weights=None) -> DataFrame:
+    """Rows for the decisions: y, blend p0..p2 (equal, or ``weights`` for
+    cb, lg, xg), first model's scores c0..c2."""
+    if weights is None:
+        blend = [(F.col(f"cb{c}") + F.col(f"lg{c}") + F.col(f"xg{c}")) / 3 for c in range(3)]
+    else:
+        w = [F.lit(float(x)) for x in weights]
+        blend = [w[0] * F.col(f"cb{c}") + w[1] * F.col(f"lg{c}") + w[2] * F.col(f"xg{c}") for c in range(3)]
     return oof.select("id", "y", *[b.alias(f"p{c}") for c, b in enumerate(blend)],
                       *[F.col(f"{first}{c}").alias(f"c{c}") for c in range(3)])
 

@@ -103,13 +103,14 @@ def target_encode_lookup(train: DataFrame, rows: DataFrame, key: str, y: str = "
 def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id",
                         n_folds: int = CLUSTER_TE_FOLDS, seed: int = SEED + INNER_FOLD_SEED_OFFSET,
                         alpha: float = TE_SMOOTH_ALPHA, keep_all: bool = False,
-                        prefix: str = "te") -> DataFrame:
+                        prefix: str = "te", fold_col: str | None = None) -> DataFrame:
     """Each row encoded from the other inner folds only (no leakage of its own
     label); keys absent from the other folds get the global shares.  Global
     shares come from the whole training part.  ``keep_all`` returns every
     input column plus the encodings (no join back by id needed)."""
-    src = df if keep_all else df.select(id_col, y, key)
-    f = assign_folds(src, k=n_folds, seed=seed, id_col=id_col, y_col=y, out="_if")
+    src = df if keep_all else df.select(id_col, y, key, *([fold_col] if fold_col else []))
+    f = (src.withColumn("_if", F.col(fold_col)) if fold_col else
+         assign_folds(src, k=n_folds, seed=seed, id_col=id_col, y_col=y, out="_if"))
     cell = f.groupBy(key, "_if").agg(F.count(F.lit(1)).alias("_nf"), *_class_count_aggs(y))
     by_key = Window.partitionBy(key)
     everything = Window.partitionBy()                 # keys x folds rows

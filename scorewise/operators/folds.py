@@ -39,7 +39,7 @@ def assign_folds(df: DataFrame, k: int = N_SPLITS, seed: int = SEED, id_col: str
     offsets = sizes.select(y_col, "_b", (F.sum("_n").over(cum_w) - F.col("_n")).alias("_off"))
     out_df = (ranked.join(bounded_broadcast(offsets), [y_col, "_b"])
               .withColumn(out, ((F.col("_off") + F.col("_lr") - 1) % k).cast("int")))
-    return out_df.drop("_h", "_b", "_lr", "_off")
+    return out_df.select(*df.columns, out)
 
 
 def split_fold(df_with_fold: DataFrame, k: int, fold_col: str = "fold"):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorewise.config import CLASS_LABELS, MODEL_NAMES, N_CLASSES
-from scorewise.functions.columns import argmax3, count_true, dlit, r6, ratio
+from scorewise.functions.columns import argmax3, count_true, dlit, r6, ratio  # noqa: F401 (argmax3 re-exported)
 
 CLASSES = tuple(range(N_CLASSES))
 
