@@ -33,7 +33,7 @@ from scorewise.config import (ALPHA_ACCEPT_HREC, ALPHA_WF1_DELTA, ALPHAS, ARGMAX
                               GATE_TPR_MIN, RECOVERABLE_ALPHA_MIN, RECOVERABLE_GATE_MIN,
                               Guardrails)
 from scorewise.functions.columns import argmax2, argmax3, count_true, dlit, ratio
-from scorewise.operators.metrics import count_aggs, rounded, with_metrics
+from scorewise.operators.metrics import count_aggs, metric_exprs, rounded, with_metrics
 
 P = ("p0", "p1", "p2")
 
@@ -105,7 +105,7 @@ def candidate_metrics(expanded: DataFrame, keys, pred="pred", base="base", weigh
                       extra_aggs=()) -> DataFrame:
     counts = expanded.groupBy(*keys).agg(*count_aggs("y", pred, weight),
                                          *baseline_aggs("y", base, weight), *extra_aggs)
-    return add_guardrails(with_metrics(with_metrics(counts), prefix="b_"))
+    return add_guardrails(counts.withColumns({**metric_exprs(), **metric_exprs("b_")}))
 
 
 def _report(m: DataFrame, keys, extra=()) -> DataFrame:
@@ -263,7 +263,7 @@ def gate_sweep_argmax(rows: DataFrame, thresholds=ARGMAX_GATE_GRID, g: Guardrail
         "threshold": F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("j") + 1),
         "accept": accept.cast("int")})
     first = F.min(F.when(F.col("accept") == 1, F.col("j"))).over(Window.partitionBy())  # k rows
-    m = m.withColumn("is_selected", (F.col("j") == first).cast("int"))
+    m = m.withColumn("is_selected", F.coalesce(F.col("j") == first, F.lit(False)).cast("int"))
     return _report(m, ["j", "threshold"], extra=["tpr", "fpr", "accept", "is_selected"])
 
 

@@ -65,35 +65,38 @@ def class_counts(df: DataFrame, keys=(), y: str = "y", pred: str = "pred",
     return df.groupBy(*keys).agg(*count_aggs(y, pred, weight))
 
 
-def with_metrics(counts: DataFrame, prefix: str = "", n_col: str = "n") -> DataFrame:
-    """Add precision/recall/F1 per class, weighted and macro F1, accuracy."""
+def metric_exprs(prefix: str = "", n_col: str = "n") -> dict:
+    """Precision/recall/F1 per class, weighted and macro F1, accuracy as
+    expressions over the count columns (one projection, one analysis)."""
     p = prefix
-    cols = {}
+    out = {}
     for c in CLASSES:
         s, q, t = F.col(f"{p}s{c}"), F.col(f"{p}q{c}"), F.col(f"{p}t{c}")
-        cols[f"{p}prec{c}"] = ratio(t, q)
-        cols[f"{p}rec{c}"] = ratio(t, s)
-        cols[f"{p}f1_{c}"] = ratio(2 * t, s + q)
-    out = counts.withColumns(cols)
-    f1 = [F.col(f"{p}f1_{c}") for c in CLASSES]
+        out[f"{p}prec{c}"] = ratio(t, q)
+        out[f"{p}rec{c}"] = ratio(t, s)
+        out[f"{p}f1_{c}"] = ratio(2 * t, s + q)
+    f1 = [out[f"{p}f1_{c}"] for c in CLASSES]
     s = [F.col(f"{p}s{c}") for c in CLASSES]
     present = [F.when(F.col(f"{p}s{c}") + F.col(f"{p}q{c}") > 0, 1).otherwise(0) for c in CLASSES]
     n = F.col(n_col)
-    return out.withColumns({
-        f"{p}wf1": ratio(f1[0] * s[0] + f1[1] * s[1] + f1[2] * s[2], n),
-        f"{p}macro_f1": ratio(f1[0] + f1[1] + f1[2], present[0] + present[1] + present[2]),
-        f"{p}accuracy": ratio(F.col(f"{p}t0") + F.col(f"{p}t1") + F.col(f"{p}t2"), n),
-    })
+    out[f"{p}wf1"] = ratio(f1[0] * s[0] + f1[1] * s[1] + f1[2] * s[2], n)
+    out[f"{p}macro_f1"] = ratio(f1[0] + f1[1] + f1[2], present[0] + present[1] + present[2])
+    out[f"{p}accuracy"] = ratio(F.col(f"{p}t0") + F.col(f"{p}t1") + F.col(f"{p}t2"), n)
+    return out
+
+
+def with_metrics(counts: DataFrame, prefix: str = "", n_col: str = "n") -> DataFrame:
+    """Add precision/recall/F1 per class, weighted and macro F1, accuracy."""
+    return counts.withColumns(metric_exprs(prefix, n_col))
 
 
 def metric_bundle(df: DataFrame, keys=(), y="y", pred="pred", weight=None) -> DataFrame:
     """WF1, High recall/precision/F1, predicted-High count, Medium F1/recall/precision."""
-    m = with_metrics(class_counts(df, keys, y, pred, weight))
-    return m.select(*keys,
-                    F.col("wf1"), F.col("rec2").alias("hrec"), F.col("prec2").alias("hpre"),
-                    F.col("f1_2").alias("hf1"), F.col("q2").alias("phc"),
-                    F.col("f1_1").alias("med_f1"), F.col("rec1").alias("med_rec"),
-                    F.col("prec1").alias("med_pre"), F.col("macro_f1"), F.col("n"))
+    e = metric_exprs()
+    return class_counts(df, keys, y, pred, weight).select(
+        *keys, e["wf1"].alias("wf1"), e["rec2"].alias("hrec"), e["prec2"].alias("hpre"),
+        e["f1_2"].alias("hf1"), F.col("q2").alias("phc"), e["f1_1"].alias("med_f1"),
+        e["rec1"].alias("med_rec"), e["prec1"].alias("med_pre"), e["macro_f1"].alias("macro_f1"), F.col("n"))
 
 
 def rounded(df: DataFrame, exclude=()) -> DataFrame:
