@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Before a row-multiplying step (a candidate grid expanded per row): if a
+    scan-rooted input arrives in fewer splits than the cluster has cores (one
+    file holding one row group), spread it round-robin so the expansion uses
+    every core.  On a cluster the scan already has thousands of splits and the
+    input passes through unchanged (no shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
