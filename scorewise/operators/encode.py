@@ -8,9 +8,11 @@ Scale notes
   window over that small table, and subtract the row's own fold.
 * Every fitted table is one row per key (or per key and fold); such tables are
   broadcast only after their size is checked.
-* Global shares are three numbers: inside a fit they ride on the small
-  per-key table as a window total; for a lookup they are fitted parameters
-  (three floats on the driver), never a join with a one-row table.
+* Global shares are three numbers: fitted parameters (one aggregate, three
+  floats on the driver, inlined as literals), never a window over the whole
+  key table and never a join with a one-row table.
+* Ordinal codes number the distinct categories by a distributed sort
+  (``sorted_positions``), not a single-partition window.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from scorewise.config import (CLUSTER_TE_FOLDS, FIXED_CLASS_WEIGHTS, INNER_FOLD_
                               MISSING_TOKEN, N_CLASSES, SEED, TE_SMOOTH_ALPHA)
 from scorewise.functions.columns import count_true, dlit
 from scorewise.operators.folds import assign_folds
-from scorewise.operators.joins import checked_broadcast
+from scorewise.operators.joins import bounded_broadcast, checked_broadcast
+from scorewise.session import cut_lineage
 
 CLASSES = tuple(range(N_CLASSES))
 
@@ -71,12 +74,9 @@ def target_encoding_map(df: DataFrame, key: str, y: str = "y",
                         alpha: float = TE_SMOOTH_ALPHA) -> DataFrame:
     """Per key: n and smoothed class shares (n_c + a*share_c) / (n + a)."""
     per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *_class_count_aggs(y))
-    everything = Window.partitionBy()                     # one row per key
-    t = per_key.withColumn("_N", F.sum("n").over(everything))
-    for c in CLASSES:
-        t = t.withColumn(f"g{c}", F.sum(f"n{c}").over(everything) / F.col("_N"))
-    return t.select(key, "n", *[_smoothed(F.col(f"n{c}"), F.col("n"), F.col(f"g{c}"), alpha).alias(f"te{c}")
-                                for c in CLASSES], *[F.col(f"g{c}") for c in CLASSES])
+    g = global_shares(df, y)
+    return per_key.select(key, "n", *[_smoothed(F.col(f"n{c}"), F.col("n"), dlit(g[c]), alpha).alias(f"te{c}")
+                                      for c in CLASSES], *[dlit(g[c]).alias(f"g{c}") for c in CLASSES])
 
 
 def global_shares(train: DataFrame, y: str = "y") -> list[float]:
@@ -111,18 +111,15 @@ def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id
     src = df if keep_all else df.select(id_col, y, key, *([fold_col] if fold_col else []))
     f = (src.withColumn("_if", F.col(fold_col)) if fold_col else
          assign_folds(src, k=n_folds, seed=seed, id_col=id_col, y_col=y, out="_if"))
+    g = global_shares(src, y)
     cell = f.groupBy(key, "_if").agg(F.count(F.lit(1)).alias("_nf"), *_class_count_aggs(y))
-    by_key = Window.partitionBy(key)
-    everything = Window.partitionBy()                 # keys x folds rows
-    t = cell.withColumn("_N", F.sum("_nf").over(everything))
-    for c in CLASSES:
-        t = t.withColumn(f"g{c}", F.sum(f"n{c}").over(everything) / F.col("_N"))
-    t = t.withColumn("_no", F.sum("_nf").over(by_key) - F.col("_nf"))
+    by_key = Window.partitionBy(key)                  # <= n_folds rows per key
+    t = cell.withColumn("_no", F.sum("_nf").over(by_key) - F.col("_nf"))
     enc = {}
     for c in CLASSES:
         other_c = F.sum(f"n{c}").over(by_key) - F.col(f"n{c}")
-        enc[f"{prefix}{c}"] = F.when(F.col("_no") > 0, _smoothed(other_c, F.col("_no"), F.col(f"g{c}"), alpha)) \
-            .otherwise(F.col(f"g{c}"))
+        enc[f"{prefix}{c}"] = F.when(F.col("_no") > 0, _smoothed(other_c, F.col("_no"), dlit(g[c]), alpha)) \
+            .otherwise(dlit(g[c]))
     small = checked_broadcast(t.select(key, "_if", *[v.alias(k) for k, v in enc.items()]))
     out = f.join(small, [key, "_if"], "left").drop("_if")
     if keep_all:
@@ -134,10 +131,28 @@ def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id
 # ordinal codes (M7) and frozen category codes (M8)
 # ---------------------------------------------------------------------------
 def _code_table(train: DataFrame, col: str, as_text_missing: bool) -> DataFrame:
+    """Distinct categories of ``col`` with their 0-based position in text order."""
     v = F.coalesce(F.col(col), F.lit("nan")) if as_text_missing else F.col(col)
     cats = train.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    order = Window.orderBy("_v")                     # one row per category
-    return cats.withColumn(f"{col}_code", (F.row_number().over(order) - 1).cast("int"))
+    return sorted_positions(cats, "_v", f"{col}_code")
+
+
+def sorted_positions(values: DataFrame, col: str, out: str) -> DataFrame:
+    """0-based position of each row of ``values`` in ``col`` order, without a
+    single-task window: the global sort range-partitions the rows, and
+    ``monotonically_increasing_id`` tags each with (partition, index inside
+    it).  The tagged table is checkpointed (reliably) so the position and the
+    partition sizes below read the same tags, even after an executor loss.
+    Position = rows in lower partitions + index; the offset table has one row
+    per sort partition (bounded by the shuffle partition count)."""
+    tagged = cut_lineage(values.orderBy(col).select(col, F.monotonically_increasing_id().alias("_t")))
+    tagged = tagged.select(col, F.shiftright("_t", 33).alias("_p"),
+                           F.col("_t").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    sizes = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)   # sort partitions
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    return (tagged.join(bounded_broadcast(offsets), "_p")
+            .select(col, (F.col("_off") + F.col("_i")).cast("int").alias(out)))
 
 
 def category_codes(train: DataFrame, rows: DataFrame, cols, as_text_missing: bool,

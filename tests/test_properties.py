@@ -64,6 +64,23 @@ def test_two_stage_fold_rank_equals_single_window(spark, sf):
     assert a.exceptAll(c).count() == 0 and b.exceptAll(c).count() == 0
 
 
+def test_distributed_sort_positions_equal_single_window(spark, sf):
+    """Ordinal positions from the range-partitioned sort equal a one-task
+    row_number, on a high-cardinality text column spread over 8 partitions."""
+    from scorewise.sources.tables import load
+    vals = (load(spark, sf, "lineitem")
+            .select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("v")).distinct())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = en.sorted_positions(vals, "v", "pos")
+        want = vals.withColumn("pos", (F.row_number().over(Window.orderBy("v")) - 1).cast("int"))
+        n = vals.count()
+        assert n > 1000 and got.count() == n
+        assert got.exceptAll(want.select("v", "pos")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_encodings_are_shares(spark, sf):
     df = clean_survey_y(spark, sf).withColumn("key", F.coalesce("country", F.lit("_")))
     te = en.oof_target_encoding(df, "key")
