@@ -19,9 +19,12 @@ from scorewise.functions.columns import dlit, lenient_number, safe_int
 def clean_text_value(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     key = F.lower(F.trim(c.cast("string")))
-    expr = None
+    by_value: dict[float, list[str]] = {}
     for text, value in FLAG_TEXT_VALUES.items():
-        cond = key == F.lit(text)
+        by_value.setdefault(value, []).append(text)
+    expr = None
+    for value, texts in by_value.items():                 # disjoint text sets
+        cond = key.isin(*texts)
         expr = F.when(cond, dlit(value)) if expr is None else expr.when(cond, dlit(value))
     return expr.otherwise(F.coalesce(lenient_number(c), dlit(0.0)))
 
