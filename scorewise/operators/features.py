@@ -15,6 +15,7 @@ from scorewise.config import N_SPLITS, RATIO_FLOOR
 from scorewise.functions.columns import dlit, safe_int, sum_cols
 from scorewise.operators.folds import explode_folds
 from scorewise.operators.joins import checked_broadcast
+from scorewise.session import cut_lineage
 
 # Fixed column groups of the survey schema.
 NUMERIC_COLUMNS = ("business_turnover", "business_expenses", "personal_income",
@@ -135,7 +136,10 @@ def fold_country_z(clean_with_fold: DataFrame, n_splits: int = N_SPLITS) -> Data
     """Per outer fold k: statistics fitted on the train part only, applied to
     train and validation rows.  One grouped aggregate over the exploded
     (k, row) table fits all k folds at once."""
-    ex = explode_folds(clean_with_fold.select("id", "fold", "country", "business_turnover"), n_splits)
+    # the fold column usually comes from a rank (a shuffle); read it once from a
+    # narrow checkpoint so the statistics and the z-scores share it
+    narrow = cut_lineage(clean_with_fold.select("id", "fold", "country", "business_turnover"))
+    ex = explode_folds(narrow, n_splits)
     stats = country_stats(ex.filter(F.col("role") == "train"), keys=("k", "country"))
     small = checked_broadcast(stats.select("k", "country", "ct_mean", "ct_std"))
     return (ex.join(small, ["k", "country"], "left")
