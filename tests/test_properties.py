@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewise.config import ALPHAS
+from scorewise.config import ALPHAS, GATE_HIGH_FLOOR
+from scorewise.operators.decide import GATE_GRID
 from scorewise.operators import clean as cl
 from scorewise.operators import decide as de
 from scorewise.operators import encode as en
+from scorewise.operators import features as fe
 from scorewise.operators import folds as fo
 from scorewise.operators import metrics as me
 from scorewise.plans.q_features import clean_survey_y
@@ -132,6 +134,46 @@ def test_bucketed_alpha_sweep_equals_row_expansion(spark, sf):
         assert (m["wf1"], m["phc"]) == fast[i]
 
 
+def test_bucketed_gate_sweep_equals_row_expansion(spark, sf):
+    """Brute force on the rows, grid point by grid point, against the
+    bucketed sweep (corners, middle and an asymmetric point)."""
+    rows = de.decision_input(fx.oof(spark, sf))
+    fast = {(r["i"], r["j"]): r for r in de.gate_sweep(rows).collect()}
+    base = me.argmax3("p0", "p1", "p2")
+    missed = (F.col("y") == 2) & (base != 2)
+    nonhigh = F.col("y") != 2
+    for i, j in [(0, 0), (0, 10), (10, 0), (5, 5), (3, 8), (10, 10)]:
+        gate = (F.col("c2") > F.lit(GATE_GRID[i])) & (F.col("p2") > F.lit(GATE_GRID[j]))
+        lifted = F.when(gate, F.greatest("p2", F.lit(GATE_HIGH_FLOOR))).otherwise(F.col("p2"))
+        s = F.col("p0") + F.col("p1") + lifted
+        pred = me.argmax3(F.col("p0") / s, F.col("p1") / s, lifted / s)
+        m = me.metric_bundle(rows.withColumn("pred", pred)).first()
+        r = rows.agg(F.sum((gate & missed).cast("long")).alias("gm"), F.sum(missed.cast("long")).alias("nm"),
+                     F.sum((gate & nonhigh).cast("long")).alias("gn"), F.sum(nonhigh.cast("long")).alias("nn")).first()
+        tpr = r["gm"] / r["nm"] if r["nm"] else 0.0
+        fpr = r["gn"] / r["nn"] if r["nn"] else 1.0
+        f = fast[(i, j)]
+        assert f["phc"] == m["phc"], (i, j)
+        assert abs(f["wf1"] - m["wf1"]) < 1e-12 and abs(f["tpr"] - tpr) < 1e-12 and abs(f["fpr"] - fpr) < 1e-12
+
+
+def test_validation_labels_do_not_reach_fold_fits(spark, sf):
+    """Changing every validation label of fold k changes none of the tables
+    fitted for that fold (folds held fixed)."""
+    df = fo.assign_folds(clean_survey_y(spark, sf).withColumn("key", F.coalesce("country", F.lit("_"))))
+    k = 1
+    flipped = df.withColumn("y", F.when(F.col("fold") == k, (F.col("y") + 1) % 3).otherwise(F.col("y")))
+
+    def fits(d):
+        train, _ = fo.split_fold(d, k)
+        return [en.target_encode_lookup(train, d, "key", keep=("id",)),
+                en.oof_target_encoding(train, "key"),
+                fe.country_stats(train), en.balanced_weights(train), en.class_shares(train)]
+
+    for a, b in zip(fits(df), fits(flipped)):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_permuting_partitions_changes_nothing(spark, sf):
     long = oof_long5(spark, sf)
     a = me.oof_metrics(long)
