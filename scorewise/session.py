@@ -63,5 +63,9 @@ def spread_input(df: DataFrame) -> DataFrame:
     file holding one row group), spread it round-robin so the expansion uses
     every core.  On a cluster the scan already has thousands of splits and the
     input passes through unchanged (no shuffle)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:            # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    return df if have >= want else df.repartition(want)
