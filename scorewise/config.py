@@ -97,6 +97,6 @@ class RunConfig:
     kmeans_max_iter: int = 30
     # fold numbering: number of md5 hex digits used to split a class into
     # independently ranked buckets (16**digits buckets per class)
-    fold_bucket_digits: int = 3
+    fold_bucket_digits: int = 4          # 65,536 rank buckets per class; offsets <= 196,608 rows
     # largest row count of a table we broadcast after measuring it
     broadcast_max_rows: int = 1_000_000
