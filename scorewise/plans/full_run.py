@@ -13,6 +13,8 @@ decision rules require.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import argparse
 import json
 import time
@@ -92,10 +94,12 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     log(f"decisions {time.time() - t0:.1f}s: {summary.asDict()}")
 
     # seed stability: same folds, features and models refitted per seed, equal blend
-    per_seed = []
-    for s in seeds:
+    def fit_seed(s):                                  # independent fits: run side by side
         o, _, _ = mo.train_oof(clean_fold, None, cfg, lp, seed=s)
-        per_seed.append(me.scores_long(o, {"eq": sources["eq"]}).withColumn("seed", F.lit(s)))
+        return me.scores_long(o, {"eq": sources["eq"]}).withColumn("seed", F.lit(s))
+
+    with ThreadPoolExecutor(max_workers=max(1, len(seeds))) as pool:
+        per_seed = list(pool.map(fit_seed, seeds))
     seed_long = per_seed[0]
     for p in per_seed[1:]:
         seed_long = seed_long.unionByName(p)
