@@ -28,3 +28,16 @@ def test_scan_prunes_columns(spark, sf):
 def test_small_fitted_tables_are_broadcast(spark, sf):
     assert "BroadcastHashJoin" in plan_text(REGISTRY["derived_features"][0](spark, sf))
     assert "BroadcastHashJoin" in plan_text(REGISTRY["fold_assignment"][0](spark, sf))
+
+
+def test_spread_only_when_under_split(spark):
+    """A scan with fewer splits than cores is spread round-robin; an input
+    that already has enough partitions passes through with no exchange."""
+    from scorewise.session import spread_input
+    want = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, 1, 1)
+    many = spark.range(0, 1000, 1, want)
+    assert spread_input(one).rdd.getNumPartitions() == want
+    same = spread_input(many)
+    assert same is many
+    assert "Exchange" not in plan_text(same)
