@@ -6,7 +6,8 @@ import pytest
 from scorewise.plans.catalog import REGISTRY
 
 NO_PYTHON = ["oof_metrics", "derived_features", "gate_sweep", "alpha_sweep", "blend_search",
-             "oof_target_encoding", "calibration_summary", "fold_assignment", "clean_survey"]
+             "oof_target_encoding", "calibration_summary", "fold_assignment", "clean_survey",
+             "ordinal_encode", "freeze_categories", "target_encoding_map", "target_encode_lookup"]
 
 
 def plan_text(df) -> str:
