@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm import embedding_dedup, exact_dedup, mixing, packing, simhash
+from scorewise.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, simhash
 from scorewise.llm.common import table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@register("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @register("op6_simhash_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_documents(table(spark, sf_dir, "documents"))
