@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, simhash
+from scorewise.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, pii_crf, quality_pu, simhash
 from scorewise.llm.common import table
 
 QUERIES: dict = {}
@@ -46,12 +46,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@register("op5_quality_pu")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.score_quality(docs, quality_pu.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @register("op6_simhash_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@register("op7_pii_crf")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    n = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[n(k).alias(f"n_{k}") for k in pii_crf.KINDS], F.sha2(digest(base), 256).alias("base_sha256"),
+                        digest(F.col("spans")).alias("spans"))
+
+
 @register("op8_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(COALESCE(text, '')) AS text_sha256, COALESCE(text, '') AS t FROM documents)
 SELECT doc_id, MAX(doc_id) OVER (PARTITION BY t) AS keep_id, COUNT(*) OVER (PARTITION BY t) AS group_size,
