@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, pii_crf, quality_pu, simhash
+from scorewise.llm import embedding_dedup, exact_dedup, license_scan, lm_score, mixing, packing, pii_crf, quality_pu, simhash
 from scorewise.llm.common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@register("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @register("op5_quality_pu")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
