@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm import embedding_dedup, exact_dedup, license_scan, lm_score, mixing, packing, pii_crf, quality_pu, simhash
+from scorewise.llm import embedding_dedup, exact_dedup, license_scan, lm_score, mixing, packing, pii_crf, quality_pu, simhash, substring_dedup
 from scorewise.llm.common import table
 
 QUERIES: dict = {}
@@ -51,6 +52,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+@register("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.documents_with_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op5_quality_pu")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -116,3 +122,6 @@ FROM p""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
