@@ -62,7 +62,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX,
                  max_survivors: int = MAX_SURVIVORS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    groups = copy_groups(docs, id_col, text_col, prefix, max_survivors)
+    groups = cut(copy_groups(docs, id_col, text_col, prefix, max_survivors))     # a plain join side: Spark can split a hot text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("sha"))
     alone = F.col("group_size").isNull()
     out = rows.join(groups, "sha", "left").select(
