@@ -50,10 +50,19 @@ def count_true(cond: Column, weight: Column | None = None) -> Column:
     return F.sum(F.when(cond, w).otherwise(F.lit(0))).cast("bigint")
 
 
+#: White space as the method's text strip knows it: ASCII and Unicode spaces.
+WHITE_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def strip_space(c) -> Column:
+    """Text without leading and trailing white space of any kind."""
+    return F.regexp_replace(col(c).cast("string"), f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+
+
 def lenient_number(c) -> Column:
     """Text -> double when it is a plain number, else NULL (never raises)."""
-    c = col(c).cast("string")
-    return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
+    c = strip_space(c)
+    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
 def safe_int(c) -> Column:

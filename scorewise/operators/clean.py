@@ -1,6 +1,7 @@
 """Cleaning of survey-style tables (one ``select``, no UDF).
 
-Numeric columns: NULL -> 0.0.  Text columns: trim + lower-case, look the value
+Numeric columns: NULL and NaN -> 0.0.  Text columns: strip white space of any
+kind + lower-case, look the value
 up in the fixed yes/no table, else parse it as a plain number, else 0.0.  NULL
 text becomes 0.0 as well (the lookup treats the text ``nan``/``none`` as 0).
 Categorical columns named in ``keep`` pass through untouched.
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from scorewise.config import CAT_FEATURES, CLASS_LABELS, FLAG_TEXT_VALUES, MISSING_TOKEN
-from scorewise.functions.columns import dlit, lenient_number, safe_int
+from scorewise.functions.columns import dlit, lenient_number, safe_int, strip_space
 
 
 def clean_text_value(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    key = F.lower(F.trim(c.cast("string")))
+    key = F.lower(strip_space(c))
     by_value: dict[float, list[str]] = {}
     for text, value in FLAG_TEXT_VALUES.items():
         by_value.setdefault(value, []).append(text)
@@ -32,7 +33,7 @@ def clean_text_value(c: str | Column) -> Column:
 def clean_column(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, NumericType):
-        return F.coalesce(F.col(name).cast("double"), dlit(0.0)).alias(name)
+        return F.nanvl(F.coalesce(F.col(name).cast("double"), dlit(0.0)), dlit(0.0)).alias(name)
     return clean_text_value(name).alias(name)
 
 
@@ -68,7 +69,7 @@ def unknown_labels(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def assert_known_labels(df: DataFrame, target: str = "target") -> None:
-    bad = [r[0] for r in unknown_labels(df, target).limit(20).collect()]
+    bad = [r[0] for r in unknown_labels(df, target).orderBy(target).collect()]
     if bad:
         raise ValueError(f"unknown class labels: {bad}")
 

@@ -122,6 +122,7 @@ def oof_target_encoding(df: DataFrame, key: str, y: str = "y", id_col: str = "id
             .otherwise(dlit(g[c]))
     small = checked_broadcast(t.select(key, "_if", *[v.alias(k) for k, v in enc.items()]))
     out = f.join(small, [key, "_if"], "left").drop("_if")
+    out = out.withColumns({k: F.coalesce(k, dlit(g[c])) for c, k in enumerate(enc)})     # NULL keys
     if keep_all:
         return out
     return out.select(id_col, *[f"{prefix}{c}" for c in CLASSES])

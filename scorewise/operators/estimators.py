@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewise.config import SEED, RunConfig
+from scorewise.config import INNER_FOLD_SEED_OFFSET, SEED, RunConfig
 from scorewise.functions.columns import dlit
 from scorewise.operators import encode as en
 from scorewise.operators import features as fe
@@ -79,7 +79,8 @@ class ClusterFeatures(Estimator):
             key = _id_col(k)
             maps[k] = cut_lineage(en.target_encoding_map(assigned, key)
                                   .select(key, *[F.col(f"te{c}").alias(f"_m{c}") for c in CLASSES]))
-            enc = en.oof_target_encoding(assigned.select("id", "y", key), key, prefix=f"cluster_te_k{k}_")
+            enc = en.oof_target_encoding(assigned.select("id", "y", key), key, seed=self.seed + INNER_FOLD_SEED_OFFSET,
+                                         prefix=f"cluster_te_k{k}_")
             oof = oof.join(enc, "id")                    # one row per training id on both sides
         return ClusterFeaturesModel(params, centres, maps, cut_lineage(oof), en.global_shares(train))
 

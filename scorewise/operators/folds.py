@@ -9,7 +9,8 @@ Scale: a plain ``row_number().over(partitionBy(y))`` would put a whole class
 rank inside (class, first ``digits`` hex digits of the hash) - 16**digits
 independent buckets per class - then add the prefix sum of the bucket counts
 of lower buckets.  The bucket-count table has at most classes x 16**digits rows
-and is broadcast.  The result is identical to the single-window rank.
+and is broadcast.  The result is identical to the single-window rank.  Rows with a NULL class are a class of their own: the join
+is null-safe, so no row is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def assign_folds(df: DataFrame, k: int = N_SPLITS, seed: int = SEED, id_col: str
     sizes = hashed.groupBy(y_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
     cum_w = Window.partitionBy(y_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = sizes.select(y_col, "_b", (F.sum("_n").over(cum_w) - F.col("_n")).alias("_off"))
-    out_df = (ranked.join(bounded_broadcast(offsets), [y_col, "_b"])
+    offsets = offsets.toDF("_oy", "_ob", "_off")
+    out_df = (ranked.join(bounded_broadcast(offsets), F.col(y_col).eqNullSafe(F.col("_oy")) & (F.col("_b") == F.col("_ob")))
               .withColumn(out, ((F.col("_off") + F.col("_lr") - 1) % k).cast("int")))
     return out_df.select(*df.columns, out)
 
@@ -68,15 +70,12 @@ def fold_overlap_check(df_with_fold: DataFrame, n_splits: int = N_SPLITS,
     An id can only be in both parts of a fold if it appears with two fold
     numbers, so one aggregation per id finds every overlap.
     """
-    per_id = df_with_fold.groupBy(id_col).agg(
-        F.collect_set(fold_col).alias("_folds"), F.count(F.lit(1)).alias("_rows"))
-    dup = per_id.filter(F.size("_folds") > 1)
-    ex = explode_folds(df_with_fold, n_splits, fold_col)
-    sizes = ex.groupBy("k").agg(
-        F.sum(F.when(F.col("role") == "train", 1).otherwise(0)).cast("bigint").alias("n_train"),
-        F.sum(F.when(F.col("role") == "val", 1).otherwise(0)).cast("bigint").alias("n_val"))
-    overlap = (dup.withColumn("k", F.explode("_folds"))
-               .groupBy("k").agg(F.count(F.lit(1)).cast("bigint").alias("n_overlap")))
-    return (sizes.join(overlap, "k", "left")
-            .select(F.col("k").alias("fold"), "n_train", "n_val",
-                    F.coalesce("n_overlap", F.lit(0).cast("bigint")).alias("n_overlap")))
+    per_id = df_with_fold.groupBy(id_col).agg(F.collect_set(fold_col).alias("_folds"))
+    overlap = (per_id.filter(F.size("_folds") > 1).withColumn("fold", F.explode("_folds"))
+               .groupBy("fold").agg(F.count(F.lit(1)).cast("bigint").alias("n_overlap")))
+    per_fold = df_with_fold.groupBy(F.col(fold_col).alias("fold")).agg(F.count(F.lit(1)).alias("n_val"))
+    every = df_with_fold.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"))
+    sizes = every.join(per_fold, "fold", "left").select("fold", F.coalesce("n_val", F.lit(0)).cast("bigint").alias("n_val"))
+    total = F.sum("n_val").over(Window.partitionBy(F.lit(0)))              # n_splits rows
+    return (sizes.withColumn("n_train", (total - F.col("n_val")).cast("bigint")).join(overlap, "fold", "left")
+            .select("fold", "n_train", "n_val", F.coalesce("n_overlap", F.lit(0)).cast("bigint").alias("n_overlap")))

@@ -50,13 +50,14 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     t0 = time.time()
     cl.assert_known_labels(labelled)
     train = cut_lineage(cl.read_scored_table(labelled))
-    assert not cl.text_columns_left(train)
+    if left := cl.text_columns_left(train):
+        raise ValueError(f"text columns left after cleaning: {left}")
     test = (cut_lineage(cl.preprocess_raw(unlabelled.drop("target"), passthrough=("id",)))
             if unlabelled is not None else None)
     log(f"read {time.time() - t0:.1f}s")
 
     folds = io.get_or_create_folds(spark, train, f"{out}/folds", k=cfg.n_splits, seed=cfg.seed)
-    clean_fold = cut_lineage(train.join(folds.select("id", "fold"), "id"))
+    clean_fold = cut_lineage(train.join(folds.select("id", "fold"), "id", "left"))
     cl.assert_no_null_categories(cl.fill_categories(clean_fold), label="train")
 
     # parameter trials on the fold cache (one learner), band selection

@@ -3,10 +3,12 @@ M7, M8, J2)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from scorewise.config import (CAT_FEATURES, CLUSTER_TE_FOLDS, FIXED_CLASS_WEIGHTS, INNER_FOLD_SEED_OFFSET,
-                              MISSING_TOKEN, SEED, TE_SMOOTH_ALPHA)
+                              MISSING_TOKEN, N_SPLITS, SEED, TE_SMOOTH_ALPHA)
 from scorewise.operators import clean as cl
 from scorewise.operators import encode as en
 from scorewise.operators import features as fe
@@ -15,6 +17,7 @@ from scorewise.operators.metrics import rounded
 from scorewise.plans import sql as S
 from scorewise.plans.q_features import CLEAN_CTES, DERIVED_RAW, STATS, clean_survey_y
 from scorewise.plans.queries import R, oracle, register
+from scorewise.session import cut_lineage
 from scorewise.sources import fixtures as fx
 from scorewise.sources.tables import load
 
@@ -97,19 +100,26 @@ def q_target_encoding_map(spark, d):
     return rounded(m.select("key", "n", "te0", "te1", "te2"))
 
 
-_GLOBAL_TRAIN = ("gt", "SELECT " + ", ".join(
-    f"CAST(SUM(CASE WHEN y = {c} THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS g{c}" for c in range(3))
-    + " FROM fc WHERE fold <> 0")
+def _global_train(k: int) -> tuple[str, str]:
+    return (f"gt{k}", "SELECT " + ", ".join(
+        f"CAST(SUM(CASE WHEN y = {c} THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS g{c}" for c in range(3))
+        + f" FROM fc WHERE fold <> {k}")
+
+
+_FOLD_LOOKUPS = " UNION ALL ".join(
+    f"""SELECT id, {', '.join(f'ROUND(COALESCE(tm{k}.te{c}, gt{k}.g{c}), 6) AS te{c}' for c in range(3))}
+FROM (SELECT id, {KEY_SQL} AS key FROM fc WHERE fold = {k}) v LEFT JOIN tm{k} ON v.key = tm{k}.key CROSS JOIN gt{k}"""
+    for k in range(N_SPLITS))
 
 
-@register("target_encode_lookup", oracle(*CLEAN_CTES, FOLDED, (
-    "tm", _te_map_sql("(SELECT * FROM fc WHERE fold <> 0) t")), _GLOBAL_TRAIN, body=f"""
-SELECT id, {', '.join(f'ROUND(COALESCE(tm.te{c}, gt.g{c}), 6) AS te{c}' for c in range(3))}
-FROM (SELECT id, {KEY_SQL} AS key FROM fc WHERE fold = 0) v LEFT JOIN tm ON v.key = tm.key CROSS JOIN gt"""))
+@register("target_encode_lookup", oracle(
+    *CLEAN_CTES, FOLDED, *[(f"tm{k}", _te_map_sql(f"(SELECT * FROM fc WHERE fold <> {k}) t")) for k in range(N_SPLITS)],
+    *[_global_train(k) for k in range(N_SPLITS)], body=_FOLD_LOOKUPS))
 def q_target_encode_lookup(spark, d):
-    f = keyed(folded(spark, d))
-    train, val = fo.split_fold(f, 0)
-    return rounded(en.target_encode_lookup(train, val, "key"))
+    """Every row encoded by the map of the folds it is not in."""
+    f = cut_lineage(keyed(folded(spark, d)))
+    parts = [en.target_encode_lookup(*fo.split_fold(f, k), "key") for k in range(N_SPLITS)]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 _INNER_SEED = SEED + INNER_FOLD_SEED_OFFSET

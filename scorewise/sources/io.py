@@ -9,6 +9,7 @@ the path.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scorewise.operators.folds import assign_folds
@@ -41,10 +42,20 @@ def read_template(spark: SparkSession, path: str, id_col: str = "ID") -> DataFra
 def get_or_create_folds(spark: SparkSession, df: DataFrame, path: str, **kw) -> DataFrame:
     """Frozen split: read ``(id, y, fold)`` if stored, else compute once and
     write it (``errorifexists``: a concurrent writer fails instead of
-    overwriting a split others already use)."""
+    overwriting a split others already use).  A folder without ``_SUCCESS`` is
+    a failed write and is refused, and so is a split whose ids are not those of
+    ``df``: both sides are counted and no row is dropped."""
+    if path_exists(spark, path) and not path_exists(spark, f"{path}/_SUCCESS"):
+        raise ValueError(f"{path} holds an unfinished fold table; remove it first")
     if not path_exists(spark, path):
         assign_folds(df.select("id", "y"), **kw).write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    folds = spark.read.parquet(path)
+    seen = (df.select("id", F.lit(1).alias("_d")).join(folds.select(F.col("id").alias("_id"), F.lit(1).alias("_f")),
+                                                       F.col("id").eqNullSafe(F.col("_id")), "full")
+            .agg(F.sum(F.col("_f").isNull().cast("long")), F.sum(F.col("_d").isNull().cast("long"))).first())
+    if any(seen):
+        raise ValueError(f"stored folds do not fit: {seen[0] or 0} ids without a fold, {seen[1] or 0} folds without an id")
+    return folds
 
 
 def write_predictions(labels: DataFrame, path: str) -> None:
