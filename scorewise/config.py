@@ -100,3 +100,5 @@ class RunConfig:
     fold_bucket_digits: int = 4          # 65,536 rank buckets per class; offsets <= 196,608 rows
     # largest row count of a table we broadcast after measuring it
     broadcast_max_rows: int = 1_000_000
+    # and its largest size in bytes
+    broadcast_max_bytes: int = 64 * 1024 * 1024

@@ -9,6 +9,9 @@ Sweeps never multiply the rows by the candidates:
   alpha*p2 beats max(p0,p1))`` matters.  Multiplication is monotone, so the
   winning alphas are a suffix of the sorted list.  Rows collapse to at most
   3*2*3*(K+1) buckets, which are then expanded by the K alphas.
+* all decisions together - ``decision_cells`` counts the rows once by every key
+  the recoverable, alpha and gate steps need; each step then reads those cells
+  (a table bounded by the grids) instead of the rows.
 * gate sweep - per row only ``(y, base pred, rescued pred, #t_cb passed,
   #t_blend passed)`` matters; gate(i, j) = i < n1 and j < n2.  At most
   3*3*3*12*12 buckets, expanded by the 121 grid points.
@@ -34,6 +37,7 @@ from scorewise.config import (ALPHA_ACCEPT_HREC, ALPHA_WF1_DELTA, ALPHAS, ARGMAX
                               Guardrails)
 from scorewise.functions.columns import argmax2, argmax3, count_true, dlit, ratio
 from scorewise.operators.metrics import count_aggs, metric_exprs, rounded, with_metrics
+from scorewise.session import cut_lineage
 
 P = ("p0", "p1", "p2")
 
@@ -132,19 +136,46 @@ def guardrails_by_source(long_with_base: DataFrame, g: Guardrails = Guardrails()
 # ---------------------------------------------------------------------------
 # alpha sweep (D5) and its selections (T4, T5), application
 # ---------------------------------------------------------------------------
-def alpha_buckets(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
+ALPHA_KEYS = ("y", "pred01", "base", "n_win")
+GATE_KEYS = ("y", "base", "resc", "n1", "n2")
+
+
+def _alpha_wins(alphas) -> Column:
     top01 = F.greatest(F.col("p0"), F.col("p1"))
-    n_win = reduce(add, [F.when(F.lit(float(a)) * F.col("p2") > top01, 1).otherwise(0)
-                         for a in alphas])
-    return (rows.select("y", argmax2("p0", "p1").alias("pred01"), argmax3(*P).alias("base"),
-                        n_win.alias("n_win"))
-            .groupBy("y", "pred01", "base", "n_win").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(add, [F.when(F.lit(float(a)) * F.col("p2") > top01, 1).otherwise(0) for a in alphas])
+
+
+def _count_by(rows: DataFrame, keys) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fold_cells(cells: DataFrame, keys) -> DataFrame:
+    return cells.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def alpha_buckets(rows: DataFrame, alphas=ALPHAS) -> DataFrame:
+    return _count_by(rows.select("y", argmax2("p0", "p1").alias("pred01"), argmax3(*P).alias("base"),
+                                 _alpha_wins(alphas).alias("n_win")), ALPHA_KEYS)
+
+
+def decision_cells(rows: DataFrame, alphas=ALPHAS, t_cb=None, t_blend=None,
+                   floor: float = GATE_HIGH_FLOOR) -> DataFrame:
+    """Row counts by every key the recoverable, alpha and gate steps need: one
+    scan, at most classes x grid steps rows whatever the input size."""
+    t_cb, t_blend = t_cb or GATE_GRID, t_blend or GATE_GRID
+    keyed = rows.select("y", argmax2("p0", "p1").alias("pred01"), argmax3(*P).alias("base"),
+                        _alpha_wins(alphas).alias("n_win"), rescued_pred(floor).alias("resc"),
+                        _n_passed(F.col("c2"), t_cb).alias("n1"), _n_passed(F.col("p2"), t_blend).alias("n2"),
+                        (argmax3("c0", "c1", "c2") == 2).alias("first_high"))
+    return _count_by(keyed, keyed.columns)
 
 
 def alpha_sweep(rows: DataFrame, alphas=ALPHAS, g: Guardrails = Guardrails(),
-                wf1_delta: float = ALPHA_WF1_DELTA, hrec_min: float = ALPHA_ACCEPT_HREC) -> DataFrame:
+                wf1_delta: float = ALPHA_WF1_DELTA, hrec_min: float = ALPHA_ACCEPT_HREC,
+                cells: DataFrame | None = None) -> DataFrame:
+    """``cells`` (from ``decision_cells`` with the same grid) replaces the scan of ``rows``."""
     k = len(alphas)
-    exp = (alpha_buckets(rows, alphas)
+    exp = ((alpha_buckets(rows, alphas) if cells is None else _fold_cells(cells, ALPHA_KEYS))
            .withColumn("alpha_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
            .withColumn("pred", F.when(F.col("alpha_idx") >= k - F.col("n_win"), F.lit(2))
                        .otherwise(F.col("pred01"))))
@@ -207,13 +238,16 @@ def _rates(m: DataFrame) -> DataFrame:
 
 def gate_sweep(rows: DataFrame, t_cb=GATE_GRID, t_blend=GATE_GRID, g: Guardrails = Guardrails(),
                fpr_max: float = GATE_FPR_MAX, tpr_min: float = GATE_TPR_MIN,
-               floor: float = GATE_HIGH_FLOOR) -> DataFrame:
-    """Probability gate: c2 > t_cb and p2 > t_blend -> P(High) lifted to ``floor``."""
+               floor: float = GATE_HIGH_FLOOR, cells: DataFrame | None = None) -> DataFrame:
+    """Probability gate: c2 > t_cb and p2 > t_blend -> P(High) lifted to ``floor``.
+    ``cells`` (from ``decision_cells`` with the same grids) replaces the scan of ``rows``."""
     n_i, n_j = len(t_cb), len(t_blend)
-    buckets = (rows.select("y", argmax3(*P).alias("base"), rescued_pred(floor).alias("resc"),
-                           _n_passed(F.col("c2"), t_cb).alias("n1"),
-                           _n_passed(F.col("p2"), t_blend).alias("n2"))
-               .groupBy("y", "base", "resc", "n1", "n2").agg(F.count(F.lit(1)).alias("n")))
+    if cells is None:
+        buckets = _count_by(rows.select("y", argmax3(*P).alias("base"), rescued_pred(floor).alias("resc"),
+                                        _n_passed(F.col("c2"), t_cb).alias("n1"),
+                                        _n_passed(F.col("p2"), t_blend).alias("n2")), GATE_KEYS)
+    else:
+        buckets = _fold_cells(cells, GATE_KEYS)
     cand = F.explode(F.sequence(F.lit(0), F.lit(n_i * n_j - 1)))
     exp = (buckets.withColumn("g", cand)
            .withColumn("i", (F.col("g") / n_j).cast("int"))
@@ -284,10 +318,13 @@ def apply_gate(rows: DataFrame, t_cb: float | None, t_blend: float | None,
 # recoverable High (A11) and the final decision
 # ---------------------------------------------------------------------------
 def recoverable_high(rows: DataFrame, gate_min: int = RECOVERABLE_GATE_MIN,
-                     alpha_min: int = RECOVERABLE_ALPHA_MIN) -> DataFrame:
-    missed = (F.col("y") == 2) & (argmax3(*P) != 2)
-    m = rows.agg(count_true(missed).alias("n_missed"),
-                 count_true(missed & (argmax3("c0", "c1", "c2") == 2)).alias("recoverable"))
+                     alpha_min: int = RECOVERABLE_ALPHA_MIN, cells: DataFrame | None = None) -> DataFrame:
+    if cells is None:
+        src, base, first, w = rows, argmax3(*P), argmax3("c0", "c1", "c2") == 2, F.lit(1)
+    else:
+        src, base, first, w = cells, F.col("base"), F.col("first_high"), F.col("n")
+    missed = (F.col("y") == 2) & (base != 2)
+    m = src.agg(count_true(missed, w).alias("n_missed"), count_true(missed & first, w).alias("recoverable"))
     route = (F.when(F.col("recoverable") >= gate_min, F.lit("GATED_RESCUE_ONCE"))
              .when(F.col("recoverable") >= alpha_min, F.lit("ALPHA_SWEEP_ONCE"))
              .otherwise(F.lit("BLEND_ONLY")))
@@ -325,3 +362,40 @@ def decision_summary(rec: DataFrame, alpha_sel: DataFrame, gate_sel: DataFrame,
         F.when(F.col("best_alpha").isNotNull(), F.lit("alpha"))
         .when(gate_on & F.col("gate_t_cb").isNotNull(), F.lit("gate"))
         .otherwise(F.lit("blend")).alias("decision"))
+
+
+def decide_once(rows: DataFrame) -> dict:
+    """Recoverable, alpha and gate steps and the summary from one scan of
+    ``rows``: the cells are checkpointed and every step reads them."""
+    cells = cut_lineage(decision_cells(rows))
+    rec = recoverable_high(rows, cells=cells)
+    alpha = alpha_sweep(rows, cells=cells)
+    gate = gate_sweep(rows, cells=cells)
+    alpha_sel, gate_sel = alpha_select(alpha), gate_select(gate)
+    return {"recoverable": rec, "alpha_sweep": alpha, "gate_sweep": gate, "alpha": alpha_sel, "gate": gate_sel,
+            "summary": decision_summary(rec, alpha_sel, gate_sel)}
+
+
+def recommendation(summary: DataFrame, alpha_sel: DataFrame, gate_sel: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row: the decision, the figure it rests on (High recall for alpha,
+    WF1 for the gate), the instability flag and a note that warns when the
+    seeds disagree.  The four one-row inputs are stacked and folded."""
+    def one(df, **cols):
+        names = {"decision": "string", "alpha": "double", "t_cb": "double", "t_blend": "double",
+                 "hrec": "double", "wf1": "double", "instability_flag": "int"}
+        return df.select(*[(F.col(cols[c]) if c in cols else F.lit(None)).cast(t).alias(c) for c, t in names.items()])
+
+    stacked = (one(summary, decision="decision", alpha="best_alpha", t_cb="gate_t_cb", t_blend="gate_t_blend")
+               .unionByName(one(alpha_sel, hrec="best_hrec")).unionByName(one(gate_sel, wf1="best_wf1"))
+               .unionByName(one(stability, instability_flag="instability_flag")))
+    s = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    text = (F.when(F.col("decision") == "alpha", F.lit("submit the alpha sweep"))
+            .when(F.col("decision") == "gate", F.lit("submit the gated rescue"))
+            .otherwise(F.lit("submit the searched blend")))
+    warn = F.when(F.col("instability_flag") == 1, F.lit("; seed instability: verify the results")).otherwise(F.lit(""))
+    return s.select("decision", "alpha",
+                    F.when(F.col("decision") == "gate", F.col("t_cb")).alias("t_cb"),
+                    F.when(F.col("decision") == "gate", F.col("t_blend")).alias("t_blend"),
+                    F.when(F.col("decision") == "alpha", F.col("hrec")).alias("hrec"),
+                    F.when(F.col("decision") == "gate", F.col("wf1")).alias("wf1"),
+                    "instability_flag", F.concat(text, warn).alias("note"))

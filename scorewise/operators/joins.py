@@ -5,25 +5,32 @@ Two kinds of small tables appear:
 * bounded by a parameter (class count, k, grid size, bucket count): broadcast
   directly, the bound is stated where the hint is given;
 * bounded only by the data (for example one row per distinct country): the
-  table is materialised, its rows counted, and it is broadcast only below
-  ``max_rows``; above that the join stays a shuffle join (AQE may still pick a
-  broadcast at run time from real sizes).
+  table is checkpointed, its rows counted and its bytes summed, and it is
+  broadcast only where both are below the limits; above them the join stays a
+  shuffle join (AQE may still pick a broadcast at run time from real sizes).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewise.config import RunConfig
+from scorewise.session import cut_lineage
 
+FIXED_WIDTH = 16                       # upper bound for a number, date or flag in a row
 
-def checked_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    max_rows = max_rows or RunConfig().broadcast_max_rows
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+
+def checked_broadcast(small: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    cfg = RunConfig()
+    small = cut_lineage(small)
+    texts = [f.name for f in small.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    width = F.lit(FIXED_WIDTH * len(small.columns))
+    for c in texts:
+        width = width + F.coalesce(F.octet_length(c), F.lit(0))
+    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    fits = n <= (max_rows or cfg.broadcast_max_rows) and size <= (max_bytes or cfg.broadcast_max_bytes)
+    return F.broadcast(small) if fits else small
 
 
 def bounded_broadcast(small: DataFrame) -> DataFrame:

@@ -196,14 +196,18 @@ def fold_high_proba(long_with_fold: DataFrame) -> DataFrame:
     return rounded(long_with_fold.groupBy("model", "fold").agg(F.avg("p2").alias("mean_p2")))
 
 
-def model_comparison(long_all: DataFrame, long_with_fold: DataFrame,
-                     fold_models=MODEL_NAMES) -> DataFrame:
-    """WF1, High recall, macro F1 per source; fold mean/std for single models."""
-    overall = metric_bundle(with_pred(long_all), ("model",)).select("model", "wf1", "hrec", "macro_f1")
-    folds = (metric_bundle(with_pred(long_with_fold.filter(F.col("model").isin(*fold_models))),
-                           ("model", "fold"))
-             .groupBy("model").agg(F.avg("wf1").alias("fold_avg"),
-                                   F.stddev_pop("wf1").alias("fold_std")))
-    joined = overall.join(folds, "model", "left")
+def model_comparison(long_with_fold: DataFrame, fold_models=MODEL_NAMES) -> DataFrame:
+    """WF1, High recall, macro F1 per source; fold mean/std for single models.
+
+    The rows are counted once by (model, fold); a source's overall counts are
+    the sums of its fold counts (at most sources x folds rows)."""
+    per_fold = class_counts(with_pred(long_with_fold), ("model", "fold"))
+    counts = [c for c in per_fold.columns if c not in ("model", "fold")]
+    fold_wf1 = F.when(F.col("model").isin(*fold_models), metric_exprs()["wf1"])
+    overall = per_fold.withColumn("_f", fold_wf1).groupBy("model").agg(
+        *[F.sum(c).alias(c) for c in counts], F.avg("_f").alias("fold_avg"), F.stddev_pop("_f").alias("fold_std"))
+    e = metric_exprs()
+    joined = overall.select("model", e["wf1"].alias("wf1"), e["rec2"].alias("hrec"),
+                            e["macro_f1"].alias("macro_f1"), "fold_avg", "fold_std")
     best = Window.orderBy(F.col("wf1").desc())   # five rows: one partition is fine
     return rounded(joined.withColumn("is_best", (F.rank().over(best) == 1).cast("int")))

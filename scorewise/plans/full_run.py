@@ -84,14 +84,11 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     sources["blend"] = [weights[0] * F.col(f"cb{c}") + weights[1] * F.col(f"lg{c}")
                         + weights[2] * F.col(f"xg{c}") for c in range(3)]
     long_oof = me.scores_long(oof, sources, keep=("id", "y", "fold"))
-    comparison = me.model_comparison(long_oof, long_oof.filter(F.col("model") != "blend"))
+    comparison = me.model_comparison(long_oof)
 
     # decisions
-    rec = de.recoverable_high(rows)
-    sweep = de.alpha_sweep(rows)
-    alpha_sel = de.alpha_select(sweep)
-    gate_sel = de.gate_select(de.gate_sweep(rows))
-    summary = de.decision_summary(rec, alpha_sel, gate_sel).first()
+    steps = de.decide_once(rows)
+    summary = steps["summary"].first()
     log(f"decisions {time.time() - t0:.1f}s: {summary.asDict()}")
 
     # seed stability: same folds, features and models refitted per seed, equal blend

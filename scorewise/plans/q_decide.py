@@ -258,9 +258,7 @@ SELECT route, n_missed, recoverable,
        ELSE 'blend' END AS decision
 FROM rec"""))
 def q_decision_summary(spark, d):
-    r = rows(spark, d)
-    return de.decision_summary(de.recoverable_high(r), de.alpha_select(de.alpha_sweep(r)),
-                               de.gate_select(de.gate_sweep(r)))
+    return de.decide_once(rows(spark, d))["summary"]
 
 
 # ---------------------------------------------------------------------------

@@ -67,10 +67,12 @@ def oof_long5(spark, d) -> DataFrame:
     return me.scores_long(fx.oof(spark, d), source_columns())
 
 
-def oof_long3_folds(spark, d) -> DataFrame:
-    """cb, lg, xg and equal blend, with the frozen fold of each row."""
+def oof_long3_folds(spark, d, blend: bool = False) -> DataFrame:
+    """cb, lg, xg and equal blend (and the published-weight blend), with the
+    frozen fold of each row."""
     src = source_columns()
-    src.pop("blend")
+    if not blend:
+        src.pop("blend")
     wide = fo.assign_folds(fx.oof(spark, d).select("id", "y", *[f"{m}{c}" for m in MODEL_NAMES
                                                                   for c in range(3)]))
     return me.scores_long(wide, src, keep=("id", "y", "fold"))
@@ -198,7 +200,7 @@ SELECT o.model, ROUND(wf1, 6) AS wf1, ROUND(hrec, 6) AS hrec, ROUND(macro_f1, 6)
        CAST(CASE WHEN RANK() OVER (ORDER BY wf1 DESC) = 1 THEN 1 ELSE 0 END AS INTEGER) AS is_best
 FROM overall o LEFT JOIN fstat f ON o.model = f.model"""))
 def q_model_comparison(spark, d):
-    return me.model_comparison(oof_long5(spark, d), oof_long3_folds(spark, d))
+    return me.model_comparison(oof_long3_folds(spark, d, blend=True))
 
 
 # ---------------------------------------------------------------------------

@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SCOREWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the local test tables are files of one row group, hence one split
+        .config("spark.scorewise.inputPartitions", str(shuffle_partitions))
         # call-site capture for error messages costs several JVM round trips per
         # Column call while plans are built; off for tests and the bench
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -61,14 +63,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Before a row-multiplying step (a candidate grid expanded per row): if a
-    scan-rooted input arrives in fewer splits than the cluster has cores (one
-    file holding one row group), spread it round-robin so the expansion uses
-    every core.  On a cluster the scan already has thousands of splits and the
-    input passes through unchanged (no shuffle)."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:            # no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    return df if have >= want else df.repartition(want)
+    """Before a row-multiplying step (a candidate grid expanded per row): spread
+    the input over the number of partitions that the session states in
+    ``spark.scorewise.inputPartitions``.  Unset (the rule on a cluster, where
+    a scan has thousands of splits): the input as it is, no shuffle."""
+    want = df.sparkSession.conf.get("spark.scorewise.inputPartitions", None)
+    return df.repartition(int(want)) if want else df
