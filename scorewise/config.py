@@ -89,12 +89,9 @@ class RunConfig:
     alphas: tuple = ALPHAS
     guardrails: Guardrails = field(default_factory=Guardrails)
     wf1_band: float = WF1_BAND
-    # Learner sizes: the search uses the smaller set (fewer iterations) and the
-    # final fit the larger one.
-    search_iters: int = 10
-    final_iters: int = 20
-    kmeans_starts: int = 3
-    kmeans_max_iter: int = 30
+    kmeans_starts: int = 15
+    kmeans_max_iter: int = 300
+    trials: tuple = (("lg", 100), ("xg", 100), ("cb", 50))     # parameter trials per learner
     # fold numbering: number of md5 hex digits used to split a class into
     # independently ranked buckets (16**digits buckets per class)
     fold_bucket_digits: int = 4          # 65,536 rank buckets per class; offsets <= 196,608 rows

@@ -17,7 +17,7 @@ driver holds only parameters (scaler values, k x d centres, three shares).
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from scorewise.functions.columns import dlit
 from scorewise.operators import encode as en
 from scorewise.operators import features as fe
 from scorewise.operators.joins import bounded_broadcast
-from scorewise.operators.models import CLUSTER_FEATURES, fit_kmeans, scaled_array
+from scorewise.operators.models import CLUSTER_FEATURES, fit_kmeans, in_id_order, scaled_array
 from scorewise.session import cut_lineage
 
 CLASSES = en.CLASSES
@@ -63,10 +63,8 @@ class ClusterFeatures(Estimator):
     def _fit(self, train: DataFrame) -> "ClusterFeaturesModel":
         cfg = self.cfg
         params = en.scaler_values(en.fit_scaler(train, CLUSTER_FEATURES).first())
-        tr = cut_lineage(train.select("id", "y", scaled_array(params).alias("_cz")))
-        vec = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(params))], outputCol="_cv")
-        tr_vec = cut_lineage(vec.transform(tr.select(*[F.col("_cz")[i].alias(f"_z{i}")
-                                                       for i in range(len(params))])))
+        tr = cut_lineage(in_id_order(train.select("id", "y", scaled_array(params).alias("_cz"))))
+        tr_vec = tr.select(array_to_vector("_cz").alias("_cv"))
         centres = {k: fit_kmeans(tr_vec, k, self.seed, cfg.kmeans_starts, cfg.kmeans_max_iter)
                    for k in cfg.k_values}
         assigned = tr

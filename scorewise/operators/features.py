@@ -118,9 +118,8 @@ def with_country_z(df: DataFrame, stats: DataFrame, keys=("country",)) -> DataFr
             .drop("ct_mean", "ct_std"))
 
 
-def derived_features(clean: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """All 18 derived columns; ``stats`` fitted on ``clean`` unless given (train part)."""
-    stats = stats if stats is not None else country_stats(clean)
+def row_features(clean: DataFrame) -> DataFrame:
+    """The 17 derived columns that need only their own row."""
     cols = {}
     cols.update(ratio_columns())
     cols.update(score_columns())
@@ -128,8 +127,13 @@ def derived_features(clean: DataFrame, stats: DataFrame | None = None) -> DataFr
     cols.update(interaction_columns())
     cols.update(fully_informal())
     cols.update(vulnerability_index())
-    out = with_country_z(clean.withColumns(cols), stats)
-    return out
+    return clean.withColumns(cols)
+
+
+def derived_features(clean: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """All 18 derived columns; ``stats`` fitted on ``clean`` unless given (train part)."""
+    stats = stats if stats is not None else country_stats(clean)
+    return with_country_z(row_features(clean), stats)
 
 
 def fold_country_z(clean_with_fold: DataFrame, n_splits: int = N_SPLITS) -> DataFrame:

@@ -22,7 +22,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.config import MODEL_NAMES, RECOVERABLE_ALPHA_MIN, SEED_STABILITY_SEEDS, RunConfig
+from scorewise.config import ALPHA_ACCEPT_HREC, ALPHA_WF1_DELTA, MODEL_NAMES, RECOVERABLE_ALPHA_MIN, SEED_STABILITY_SEEDS, RunConfig
 from scorewise.operators import calibrate as ca
 from scorewise.operators import clean as cl
 from scorewise.operators import decide as de
@@ -46,7 +46,7 @@ def split_holdout(raw: DataFrame, share: float, seed: int) -> tuple[DataFrame, D
 
 def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None, out: str,
         cfg: RunConfig = RunConfig(), lp: mo.LearnerParams = mo.LearnerParams(),
-        n_trials: int = 4, seeds=SEED_STABILITY_SEEDS, log=print) -> dict:
+        n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print) -> dict:
     t0 = time.time()
     cl.assert_known_labels(labelled)
     train = cut_lineage(cl.read_scored_table(labelled))
@@ -60,16 +60,20 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     clean_fold = cut_lineage(train.join(folds.select("id", "fold"), "id", "left"))
     cl.assert_no_null_categories(cl.fill_categories(clean_fold), label="train")
 
-    # parameter trials on the fold cache (one learner), band selection
-    tables = mo.all_fold_tables(clean_fold, None, cfg, cfg.seed, cfg.n_splits)
-    trials = mo.hp_trials(tables, clean_fold, "xg", n_trials, cfg.seed) if n_trials else None
-    if trials is not None:
-        best = se.select_best_in_band(trials.withColumn("cand_id", F.col("trial_no"))).first()
-        chosen = mo.trial_params(n_trials, cfg.seed)[best["band_best_id"]]
-        lp = mo.with_params(lp, lr_reg=chosen.lr_reg, lr_elastic=chosen.lr_elastic)
+    # parameter trials of each learner on the stored fold tables, band selection
+    tables = mo.all_fold_tables(clean_fold, test, cfg, cfg.seed, cfg.n_splits)
+    trials = {}
+    for model, n in (dict(cfg.trials) if n_trials is None else dict.fromkeys(MODEL_NAMES, n_trials)).items():
+        if not n:
+            continue
+        t = mo.hp_trials(tables, clean_fold, model, n, cfg.seed)
+        best = cut_lineage(se.select_best_in_band(t.withColumn("cand_id", F.col("trial_no"))))
+        lp = mo.with_trial(lp, model, mo.trial_params(n, cfg.seed)[best.first()["band_best_id"]])
+        trials[f"best_trial_{model}"] = best.join(F.broadcast(t), F.col("band_best_id") == F.col("trial_no")).select(
+            *best.columns, "params")                       # one row
     log(f"trials {time.time() - t0:.1f}s")
 
-    oof, test_scores, iters = mo.train_oof(clean_fold, test, cfg, lp)
+    oof, test_scores, iters = mo.train_oof(clean_fold, test, cfg, lp, tables=tables)
     oof = cut_lineage(oof)
     test_scores = cut_lineage(test_scores) if test_scores is not None else None
     log(f"final fit {time.time() - t0:.1f}s")
@@ -115,9 +119,15 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
         "blend": me.rounded(se.select_blend(search)),
         "medium_baseline": de.medium_baseline(rows),
         "calibration": me.rounded(ca.calibration_summary(rows)),
-        "recoverable_high": rec,
-        "alpha_sweep": me.rounded(sweep),
-        "decision": de.decision_summary(rec, alpha_sel, gate_sel),
+        "recoverable_high": steps["recoverable"],
+        "alpha_sweep": me.rounded(steps["alpha_sweep"]),
+        "alpha": me.rounded(steps["alpha"]),
+        "gate": me.rounded(steps["gate"]),
+        "decision": steps["summary"],
+        "recommendation": me.rounded(de.recommendation(steps["summary"], steps["alpha"], steps["gate"], stability)),
+        "setup": spark.createDataFrame([(ALPHA_ACCEPT_HREC, ALPHA_WF1_DELTA, "grid", f"{out}/folds")],
+                                       "alpha_accept_hrec double, alpha_wf1_delta double, gate_search string, folds string"),
+        **trials,
         "iterations": mo.iteration_alerts(iters),
         "seed_stability": me.rounded(stability),
         "classification_report": me.classification_report(long_oof.filter(F.col("model") == "blend")),
@@ -137,7 +147,7 @@ def main():
     ap.add_argument("--test")
     ap.add_argument("--out", required=True)
     ap.add_argument("--test-share", type=float, default=0.2)
-    ap.add_argument("--trials", type=int, default=4)
+    ap.add_argument("--trials", type=int, help="trials per learner; default: RunConfig.trials")
     args = ap.parse_args()
     spark = local_session()
     cfg = RunConfig()

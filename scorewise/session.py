@@ -1,7 +1,7 @@
 """Spark session helpers.
 
 The library never assumes a machine-local folder on a cluster: lineage is cut
-with ``checkpoint()`` into the shared folder the cluster names in
+with Parquet tables written into the shared folder the cluster names in
 ``spark.checkpoint.dir``.  Only when that setting is absent (local tests) do
 we point it at a fresh scratch folder.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +57,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/scorewise-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table into the shared checkpoint folder and read
+    it back: the plan is computed once (a checkpoint computes it twice), later
+    reads are columnar and pruned, and a lost executor costs a re-read."""
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table ``cut_lineage`` wrote in this application; frames read
+    from them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_input(df: DataFrame) -> DataFrame:
