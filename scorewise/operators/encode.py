@@ -218,10 +218,14 @@ def nearest_centre(df: DataFrame, vec_col: str, centres: list[list[float]], keep
     return df.select(*keep, best["i"].alias(id_out), best["d"].alias(dist_out))
 
 
-def label_centres(df: DataFrame, vec_col: str, label: str) -> list[list[float]]:
-    """Mean vector per label (k x d), collected: bounded by labels x dimensions."""
-    cells = (df.select(label, F.posexplode(vec_col).alias("pos", "x"))
-             .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+def label_centres(df: DataFrame, vec_col: str, label: str, max_cells: int = 1_000_000) -> tuple[list, list]:
+    """Mean vector per label and the labels.  The driver takes labels x
+    dimensions values as model parameters; more than ``max_cells`` is an error,
+    found by a count before anything is collected."""
+    cells = cut_lineage(df.select(label, F.posexplode(vec_col).alias("pos", "x"))
+                        .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    if (n := cells.count()) > max_cells:
+        raise ValueError(f"{n} label x dimension cells exceed {max_cells}: not a bounded set of centres")
     rows = cells.collect()
     labels = sorted({r[label] for r in rows})
     dim = 1 + max(r["pos"] for r in rows)

@@ -46,7 +46,7 @@ def split_holdout(raw: DataFrame, share: float, seed: int) -> tuple[DataFrame, D
 
 def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None, out: str,
         cfg: RunConfig = RunConfig(), lp: mo.LearnerParams = mo.LearnerParams(),
-        n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print) -> dict:
+        n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print, template: DataFrame | None = None) -> dict:
     t0 = time.time()
     cl.assert_known_labels(labelled)
     train = cut_lineage(cl.read_scored_table(labelled))
@@ -112,7 +112,7 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     io.write_scores(long_oof, f"{out}/oof_scores")
     if test_scores is not None:
         long_test = me.scores_long(test_scores, sources, keep=("id",))
-        io.write_predictions(rp.submission_labels(long_test), f"{out}/predictions")
+        io.write_predictions(rp.submission_labels(long_test), f"{out}/predictions", template, list(sources))
         io.write_scores(long_test, f"{out}/test_scores")
     evidence = rp.evidence_pack({
         "model_comparison": me.rounded(comparison),
@@ -145,6 +145,7 @@ def main():
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--train")
     ap.add_argument("--test")
+    ap.add_argument("--template", help="CSV whose ID column lists the ids to predict")
     ap.add_argument("--out", required=True)
     ap.add_argument("--test-share", type=float, default=0.2)
     ap.add_argument("--trials", type=int, help="trials per learner; default: RunConfig.trials")
@@ -156,7 +157,8 @@ def main():
         unlabelled = io.read_csv(spark, args.test).withColumnRenamed("ID", "id") if args.test else None
     else:
         labelled, unlabelled = split_holdout(fx.survey(spark, args.sf_dir), args.test_share, cfg.seed)
-    run(spark, labelled, unlabelled, args.out, cfg, n_trials=args.trials)
+    template = io.read_template(spark, args.template) if args.template else None
+    run(spark, labelled, unlabelled, args.out, cfg, n_trials=args.trials, template=template)
 
 
 if __name__ == "__main__":

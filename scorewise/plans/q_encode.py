@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from scorewise.config import (CAT_FEATURES, CLUSTER_TE_FOLDS, FIXED_CLASS_WEIGHTS, INNER_FOLD_SEED_OFFSET,
+from scorewise.config import (CAT_FEATURES, CLUSTER_FEATURES, CLUSTER_TE_FOLDS, FIXED_CLASS_WEIGHTS, INNER_FOLD_SEED_OFFSET,
                               MISSING_TOKEN, N_SPLITS, SEED, TE_SMOOTH_ALPHA)
 from scorewise.operators import clean as cl
 from scorewise.operators import encode as en
@@ -22,23 +22,13 @@ from scorewise.sources import fixtures as fx
 from scorewise.sources.tables import load
 
 dbl = S.dbl
-CLUSTER_FEATURES = ("net_profit_margin", "expense_coverage", "turnover_per_month", "turnover_z_country",
-                    "business_turnover", "personal_income", "owner_age", "business_age_total_months",
-                    "financial_access_score", "insurance_score", "cashflow_risk_score",
-                    "growth_mindset_score", "vulnerability_index", "digital_maturity_score",
-                    "age_stability_interact", "insurance_barrier_score")
 FOLDED = ("fc", fx.folds_sql("SELECT * FROM clean"))
-ROLE_SQL = "CASE WHEN fold <> 0 THEN 'train' ELSE 'val' END"
 
 
 def folded(spark, d):
     return fo.assign_folds(clean_survey_y(spark, d))
 
 
-def with_role(df):
-    return df.withColumn("role", F.when(F.col("fold") != 0, F.lit("train")).otherwise(F.lit("val")))
-
-
 @register("fold_overlap_check", oracle(*CLEAN_CTES, FOLDED, body="""
 SELECT CAST(k.range AS INTEGER) AS fold,
   CAST(SUM(CASE WHEN fc.fold <> k.range THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
@@ -145,15 +135,29 @@ def q_oof_target_encoding(spark, d):
 # ordinal codes (M7), frozen categories (M8)
 # ---------------------------------------------------------------------------
 def _codes_sql(text_missing: bool) -> tuple:
-    parts, joins, cols = [], [], []
-    for c in CAT_FEATURES:
-        v = f"COALESCE({c}, 'nan')" if text_missing else c
-        parts.append((f"c_{c}", f"SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM "
-                                f"(SELECT DISTINCT {v} AS v FROM fc WHERE fold <> 0 AND {v} IS NOT NULL) x"))
-        joins.append(f"LEFT JOIN c_{c} ON {v.replace(c, 'fc.' + c)} = c_{c}.v")
-        cols.append(f"COALESCE(c_{c}.code, -1) AS {c}_code")
-    body = f"SELECT id, {ROLE_SQL} AS role, {', '.join(cols)} FROM fc {' '.join(joins)}"
-    return parts, body
+    """Codes of every row under each outer fold k (categories of the rows outside fold k)."""
+    ctes, parts = [], []
+    for k in range(N_SPLITS):
+        joins, cols = [], []
+        for c in CAT_FEATURES:
+            v = f"COALESCE({c}, 'nan')" if text_missing else c
+            ctes.append((f"c{k}_{c}", f"SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM "
+                                      f"(SELECT DISTINCT {v} AS v FROM fc WHERE fold <> {k} AND {v} IS NOT NULL) x"))
+            joins.append(f"LEFT JOIN c{k}_{c} ON {v.replace(c, 'fc.' + c)} = c{k}_{c}.v")
+            cols.append(f"COALESCE(c{k}_{c}.code, -1) AS {c}_code")
+        parts.append(f"SELECT CAST({k} AS INTEGER) AS k, id, CASE WHEN fold <> {k} THEN 'train' ELSE 'val' END AS role, "
+                     f"{', '.join(cols)} FROM fc {' '.join(joins)}")
+    return ctes, " UNION ALL ".join(parts)
+
+
+def fold_codes(spark, d, as_text_missing: bool):
+    f = cut_lineage(folded(spark, d).select("id", "fold", *CAT_FEATURES))
+    parts = []
+    for k in range(N_SPLITS):
+        rows = f.select(F.lit(k).alias("k"), "*", F.when(F.col("fold") != k, "train").otherwise("val").alias("role"))
+        parts.append(en.category_codes(rows.filter(F.col("fold") != k), rows, CAT_FEATURES, as_text_missing,
+                                       keep=("k", "id", "role")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _ORD_CTES, _ORD_BODY = _codes_sql(True)
@@ -162,16 +166,14 @@ _FRZ_CTES, _FRZ_BODY = _codes_sql(False)
 
 @register("ordinal_encode", oracle(*CLEAN_CTES, FOLDED, *_ORD_CTES, body=_ORD_BODY))
 def q_ordinal_encode(spark, d):
-    f = with_role(folded(spark, d))
-    train = f.filter(F.col("fold") != 0)
-    return en.category_codes(train, f, CAT_FEATURES, as_text_missing=True, keep=("id", "role"))
+    """Ordinal codes of every row under each of the five folds."""
+    return fold_codes(spark, d, as_text_missing=True)
 
 
 @register("freeze_categories", oracle(*CLEAN_CTES, FOLDED, *_FRZ_CTES, body=_FRZ_BODY))
 def q_freeze_categories(spark, d):
-    f = with_role(folded(spark, d))
-    train = f.filter(F.col("fold") != 0)
-    return en.category_codes(train, f, CAT_FEATURES, as_text_missing=False, keep=("id", "role"))
+    """Frozen category codes of every row under each of the five folds."""
+    return fold_codes(spark, d, as_text_missing=False)
 
 
 # ---------------------------------------------------------------------------

@@ -23,12 +23,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with header; pass an explicit schema at scale (no inference pass)."""
+    """CSV with header.  Without a schema every column is text, which the cleaning
+    parses by the same rules for every file: types never depend on the rows, and
+    no extra pass over the data infers them."""
     reader = spark.read.option("header", "true")
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", "true")
     return reader.csv(path)
 
 
@@ -36,7 +36,7 @@ def read_template(spark: SparkSession, path: str, id_col: str = "ID") -> DataFra
     """Optional id template; None when absent (then predictions are written as is)."""
     if not path_exists(spark, path):
         return None
-    return read_csv(spark, path).select(id_col)
+    return read_csv(spark, path).select(F.col(id_col).alias("id"))
 
 
 def get_or_create_folds(spark: SparkSession, df: DataFrame, path: str, **kw) -> DataFrame:
@@ -58,9 +58,15 @@ def get_or_create_folds(spark: SparkSession, df: DataFrame, path: str, **kw) ->
     return folds
 
 
-def write_predictions(labels: DataFrame, path: str) -> None:
-    """One CSV folder per score source (``model=...``), header ``id,Target``."""
-    labels.write.mode("overwrite").partitionBy("model").option("header", "true").csv(path)
+def write_predictions(labels: DataFrame, path: str, template: DataFrame | None = None, models=()) -> None:
+    """One CSV folder per score source (``model=...``), header ``id,Target``.
+    With a ``template`` of ids, every source named in ``models`` gets exactly the
+    template's ids: those without a prediction keep an empty label, predictions
+    outside it are left out.  Ids are compared as text, as the template is."""
+    if template is not None:
+        wanted = template.select(F.col("id").cast("string").alias("id"), F.explode(F.array(*map(F.lit, models))).alias("model"))
+        labels = wanted.join(labels.withColumn("id", F.col("id").cast("string")), ["id", "model"], "left")
+    labels.select("id", "Target", "model").write.mode("overwrite").partitionBy("model").option("header", "true").csv(path)
 
 
 def write_scores(long_scores: DataFrame, path: str) -> None:

@@ -54,3 +54,34 @@ def test_overlap_check_counts(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(50)] + [(0, 1)], "id long, fold int")
     got = fo.fold_overlap_check(df).orderBy("fold").toPandas()
     assert got.n_val.tolist() == [10, 11, 10, 10, 10] and got.n_train.tolist() == [41, 40, 41, 41, 41] and got.n_overlap.tolist() == [1, 1, 0, 0, 0]
+
+
+def test_csv_predictions_follow_the_template(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("ID,x,Target\na1,Yes,Low\na2, 2.5 ,High\n")
+    raw = io.read_csv(spark, str(tmp_path / "raw.csv"))
+    assert {t for _, t in raw.dtypes} == {"string"}
+    (tmp_path / "ids.csv").write_text("ID\na2\na9\n")
+    template = io.read_template(spark, str(tmp_path / "ids.csv"))
+    assert io.read_template(spark, str(tmp_path / "none.csv")) is None
+    labels = raw.select(F.col("ID").alias("id"), "Target", F.lit("cb").alias("model"))
+    io.write_predictions(labels, str(tmp_path / "out"), template, ["cb", "lg"])
+    back = io.read_csv(spark, str(tmp_path / "out")).select("id", "Target", "model").collect()
+    assert sorted((r[0], r[1] or "", r[2]) for r in back) == [("a2", "", "lg"), ("a2", "High", "cb"), ("a9", "", "cb"), ("a9", "", "lg")]
+    io.write_predictions(labels, str(tmp_path / "all"))
+    assert io.read_csv(spark, str(tmp_path / "all")).count() == 2
+
+
+def test_scores_and_evidence_round_trip(spark, tmp_path):
+    long = spark.createDataFrame([(1, "cb", 0.5, 0.25, 0.25), (1, "lg", 0.0, 0.0, 1.0)], "id long, model string, p0 double, p1 double, p2 double")
+    io.write_scores(long, str(tmp_path / "scores"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "scores")).select(*long.columns).collect())) == sorted(map(tuple, long.collect()))
+    doc = spark.createDataFrame([('{"a":1}',)], "evidence string")
+    io.write_evidence(doc, str(tmp_path / "evidence"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "evidence")).collect()] == ['{"a":1}']
+
+
+def test_label_centres_refuse_unbounded_labels(spark):
+    df = spark.range(50).select(F.col("id").alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert en.label_centres(df, "v", "label")[0][0] == [1.0, 2.0]
+    with pytest.raises(ValueError, match="100 label x dimension cells"):
+        en.label_centres(df, "v", "label", max_cells=99)
