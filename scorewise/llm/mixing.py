@@ -31,6 +31,7 @@ from scorewise.llm.common import fresh, one_row_per_key, same, text_of, word_cou
 from scorewise.llm.common import cut as cut_plan
 
 WEIGHTS, RAMPS, SHARE, MOST, SEED, DIGITS = (5.0, 2.0, 1.0), (0.5, 0.0, -0.5), 1.5, 2, 42, 3
+SLICES = 4096
 
 
 def source_key(source: Column) -> Column:
@@ -97,6 +98,21 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "*", F.size("times").alias("copies"), (F.size("times") * F.col("size")).alias("taken"))
 
 
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per copy taken: ``doc_id, copy, time, position``; position counts
+    from 0 along (time, doc_id).  Ranks are in two steps (inside a slice of the
+    run, then offsets of the slices), so no task gets the whole mix."""
+    plan = plan_mix(docs, id_col, text_col, source_col, **how)
+    c = cut_plan(plan.select("doc_id", "h", F.posexplode("times").alias("copy", "time")))
+    c = c.withColumn("slice", F.least(F.floor(F.col("time") * SLICES), F.lit(SLICES - 1)))
+    slices = c.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))   # at most SLICES rows
+    within = Window.partitionBy("slice").orderBy("time", "doc_id", "h", "copy")
+    c = c.withColumn("rank", F.row_number().over(within)).join(F.broadcast(slices), "slice")
+    return c.select("doc_id", "copy", "time", (F.col("ahead") + F.col("rank") - 1).alias("position"))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: ``docs`` rows, one per copy taken, range-sorted by time.
     Rows alike in id, source and text count as often as they occur."""

@@ -124,4 +124,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+@register("op10_mixing_times")
+def op10_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = mixing.training_order(table(spark, sf_dir, "documents"))
+    return order.select("doc_id", "copy", F.round("time", 9).alias("time"), "position")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
