@@ -28,12 +28,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from scorewise.llm.common import cut, text_of
+from scorewise.llm.common import cut, fresh, text_of
 
 WINDOW, REACH, REPEAT_REACH, MIN_BYTES, SEED = 16, 24, 12, 80, 9
 _GEAR = np.random.default_rng(SEED).integers(0, 2**32, 256, dtype=np.uint32)
@@ -118,27 +120,88 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REPEAT_REACH, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``row, doc_id, start, end, copied, chunks``: maximal runs of shared chunks;
-    copied: bytes of the run that are copies of an earlier occurrence."""
+    """``row, doc_id, start, end, copied, chunks, copies``: maximal runs of shared
+    chunks; copied: bytes of the run that are copies of an earlier occurrence;
+    copies: the parts (start, end) of ``min_bytes`` or more that are copies, to
+    be removed."""
     every = one_row_each(cut(chunk_lists(docs, id_col, text_col, reach)))
     first = F.min(F.struct("doc_id", "row", "start"))
     groups = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").select("digest", "first")
     shared = every.join(groups, "digest").withColumn(
         "copied", F.when((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start")), 0).otherwise(F.col("end") - F.col("start")))
     order = Window.partitionBy("row").orderBy("start")            # the chunks of one document
-    shared = shared.withColumn("new", (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")).cast("int"))
-    shared = shared.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = shared.groupBy("row", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-                                            F.sum("copied").alias("copied"), F.count(F.lit(1)).alias("chunks"))
+    shared = shared.withColumn("is_copy", F.col("copied") > 0)
+    apart = F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")
+    shared = shared.withColumn("new", apart.cast("int")).withColumn(
+        "turn", (apart | (F.lag("is_copy").over(order) != F.col("is_copy"))).cast("int"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    shared = shared.withColumn("run", F.sum("new").over(upto)).withColumn("part", F.sum("turn").over(upto))
+    parts = shared.groupBy("row", "run", "part").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                                     F.sum("copied").alias("copied"), F.count(F.lit(1)).alias("chunks"))
+    copy = F.when((F.col("copied") > 0) & (F.col("end") - F.col("start") >= min_bytes), F.struct("start", "end"))
+    runs = parts.groupBy("row", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+                                           F.sum("copied").alias("copied"), F.sum("chunks").alias("chunks"), F.collect_list(copy).alias("copies"))
     return runs.filter(F.col("end") - F.col("start") >= min_bytes).drop("run")
 
 
+def spans_of_rows(docs: DataFrame, id_col: str, text_col: str, reach: int, min_bytes: int) -> DataFrame:
+    """One row per row of ``docs`` that shares a span, with ``at`` and ``copies`` (arrays of start, end)."""
+    spans = shared_spans(docs, id_col, text_col, reach, min_bytes)
+    return spans.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("shared_bytes"),
+                                    F.sum("copied").cast("long").alias("copied_bytes"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"),
+                                    F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies"))
+
+
+def without(text: bytes, starts, ends) -> bytes:
+    """``text`` without the spans (ascending, apart); a character that a span holds in part stays."""
+    out, at = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        while s < e and text[s] & 0xC0 == 0x80:
+            s += 1
+        while s < e < len(text) and text[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(text[at:s])
+        at = e
+    return b"".join([*out, text[at:]])
+
+
+@F.pandas_udf(BinaryType())
+def _without(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([without(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+
+
+def _left(text, copies):
+    return _without(text, F.transform(copies, lambda s: s["start"]), F.transform(copies, lambda s: s["end"]))
+
+
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
 def documents_with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REPEAT_REACH, min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per document that shares a span: ``doc_id, n_spans, shared_bytes,
-    copied_bytes, spans`` (byte start:end, by start)."""
-    spans = shared_spans(docs, id_col, text_col, reach, min_bytes)
-    at = F.sort_array(F.collect_list(F.struct("start", "end")))
-    per = spans.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("shared_bytes"),
-                                   F.sum("copied").cast("long").alias("copied_bytes"), at.alias("at"))
-    return per.select("doc_id", "n_spans", "shared_bytes", "copied_bytes",
-                      F.array_join(F.transform("at", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))
+    copied_bytes, spans`` (byte start:end, by start), ``copied_spans`` (those to
+    remove), ``left_bytes, left_sha256`` (the whole text without them)."""
+    per = spans_of_rows(docs, id_col, text_col, reach, min_bytes)
+    texts = _numbered(docs.select(F.col(id_col).alias("t_id"), text_of(text_col).cast("binary").alias("text")), "row")
+    per = per.join(texts, "row").withColumn("left", _left(F.col("text"), F.col("copies")))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return per.select(_checked(F.col("doc_id"), F.col("t_id")).alias("doc_id"), "n_spans", "shared_bytes", "copied_bytes", text("at").alias("spans"),
+                      text("copies").alias("copied_spans"), F.octet_length("left").cast("long").alias("left_bytes"), F.sha2("left", 256).alias("left_sha256"))
+
+
+def _checked(found, read):
+    return F.when(found.eqNullSafe(read), found).otherwise(F.raise_error(F.lit("the rows of docs came in another order when read again; checkpoint docs")))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REPEAT_REACH, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """All rows of ``docs``, each text whole but for its copied spans.  ``docs``
+    is read twice and must give its rows in one order (a table does)."""
+    per = spans_of_rows(docs, id_col, text_col, reach, min_bytes).filter(F.size("copies") > 0)
+    row, own, copies = fresh(docs, "row", "own_id", "copies")
+    per = per.select(F.col("row").alias(row), F.col("doc_id").alias(own), F.col("copies").alias(copies))
+    out = _numbered(docs, row).join(per, row, "left")
+    text = F.when(F.col(copies).isNull(), F.col(text_col)).otherwise(
+        _left(text_of(text_col).cast("binary"), F.coalesce(F.col(copies), F.array().cast("array<struct<start:int,end:int>>"))).cast("string"))
+    same_id = F.when(F.col(copies).isNull(), F.col(id_col)).otherwise(_checked(F.col(own), F.col(id_col)))
+    return out.withColumn(text_col, text).withColumn(id_col, same_id).select(*docs.columns)
