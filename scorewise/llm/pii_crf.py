@@ -13,8 +13,10 @@ and the sequence is decoded in independent stretches around the other words,
 with the same result as over the whole text.  If the check fails, whole
 sequences are decoded.
 
-Base spans come from fixed patterns and always stay; the field adds spans that
-overlap none of them.  Whole texts are read; spans are code points, end
+Base spans come from fixed patterns and always stay.  Neighbouring words of one
+label are one item until one of them is an item by itself or a phone number ends
+or begins (``begins``); the field adds its items, less words that overlap a base
+span.  Whole texts are read; spans are code points, end
 exclusive.  A null text counts as empty.  Rows that repeat a doc_id are
 searched each.
 """
@@ -22,6 +24,7 @@ searched each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -295,6 +298,21 @@ def train(table: list[tuple[list[str], list[int]]], rounds: int = 60, rate: floa
 _WORD, _PLAINLESS = re.compile(r"\S+"), re.compile(r"[0-9@]")
 
 
+_FULL = {1: re.compile(r"[^@]+@[^@]+"), 2: re.compile(r"[0-9]+(\.[0-9]+){3}([:/][0-9]+)?"), 3: re.compile(r"(?:[0-9]-?){11,18}[0-9]"),
+         4: re.compile(r"\(?[0-9]{3}\)?[-.]?[0-9]{3}[-.][0-9]{4}|\+?[0-9]{9,15}")}
+_LEAD, _AREA, _END = re.compile(r"\+[0-9]+"), re.compile(r"\([0-9]{2,5}\)"), re.compile(r"[0-9]{3}[-.][0-9]{4}")
+
+
+def begins(label: int, before: str, word: str) -> bool:
+    """Whether ``word`` begins another item than the word before it, both with
+    one label: either is an item by itself, or a number ends or begins there."""
+    a, b = before.lstrip(TRIM_L).rstrip(TRIM_R), word.lstrip(TRIM_L).rstrip(TRIM_R)
+    full = _FULL[label].fullmatch
+    if full(a) or full(b):
+        return True
+    return label == 4 and bool(_END.fullmatch(a) or b.startswith("+") or _AREA.fullmatch(b) and not _LEAD.fullmatch(a))
+
+
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """``(start, kind number, end)`` of the field's spans in each text."""
     emits, where = [], []
@@ -324,7 +342,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
                 i += 1
                 continue
             j = i
-            while j + 1 < len(path) and path[j + 1] == path[i]:
+            while j + 1 < len(path) and path[j + 1] == path[i] and not begins(int(path[i]), words[j][1], words[j + 1][1]):
                 j += 1
             first, last = words[i], words[j]
             start = first[0] + len(first[1]) - len(first[1].lstrip(TRIM_L))
@@ -339,20 +357,43 @@ def all_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int,
     out = []
     for text, extra in zip(texts, field_spans(field, texts), strict=True):
         base = base_spans(text)
-        free = [x for x in extra if all(x[2] <= s or e <= x[0] for s, _, e in base)] if len(base) * len(extra) <= 1000 else _free(extra, base)
+        free = _free(text, extra, base)
         out.append(sorted([(*b, True) for b in base] + [(*x, False) for x in free]))
     return out
 
 
-def _free(extra, base):
-    """Spans of ``extra`` that overlap none of ``base``, by a sweep over merged base spans."""
+def _free(text, extra, base):
+    """``extra`` less the words that overlap a span of ``base``, by a sweep over merged base spans."""
+    if not base:
+        return extra
     starts, ends, top = [], [], 0
     for s, _, e in base:
         top = max(top, e)
         starts.append(s)
         ends.append(top)
-    at = np.searchsorted(starts, [x[2] for x in extra], "left") - 1       # last base span that begins before the end
-    return [x for x, i in zip(extra, at, strict=True) if i < 0 or ends[i] <= x[0]]
+    # last base span that begins before the end; the ends of merged spans rise
+    hit = lambda s, e: (i := bisect_left(starts, e) - 1) >= 0 and ends[i] > s
+    out = []
+    for s, k, e in extra:
+        if not hit(s, e):
+            out.append((s, k, e))
+            continue
+        left: list[tuple[int, int]] = []               # runs of whole words beside the base spans
+        apart = True
+        for m in _WORD.finditer(text, s, e):
+            if hit(m.start(), m.end()):
+                apart = True
+            elif apart:
+                left.append((m.start(), m.end()))
+                apart = False
+            else:
+                left[-1] = (left[-1][0], m.end())
+        for a, b in left:
+            a += len(text[a:b]) - len(text[a:b].lstrip(TRIM_L))
+            b = a + len(text[a:b].rstrip(TRIM_R))
+            if _PLAINLESS.search(text[a:b]):
+                out.append((a, k, b))
+    return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None,
