@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm import embedding_dedup, exact_dedup, license_scan, lm_score, mixing, packing, pii_crf, quality_pu, simhash, substring_dedup
+from scorewise.llm import bpe, embedding_dedup, exact_dedup, license_scan, lm_score, mixing, packing, periodic_runs, pii_crf, quality_pu, ranked_search, simhash, substring_dedup
 from scorewise.llm.common import table
 
 QUERIES: dict = {}
@@ -130,4 +130,39 @@ def op10_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.select("doc_id", "copy", F.round("time", 9).alias("time"), "position")
 
 
+_TERMS = ("regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
+
+@register("op11_ranked_search", f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT CAST(COUNT(*) AS BIGINT) AS n_docs, CAST(SUM(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (SELECT item_id, term, COUNT(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, COUNT(*) AS tf FROM (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+c AS (SELECT q.item_id, p.r, p.doc_id, CAST(SUM(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * s.n_docs) // s.n_terms)))) AS BIGINT) AS score
+      FROM q JOIN p ON q.term = p.term JOIN w ON w.term = p.term, s GROUP BY q.item_id, p.r, p.doc_id),
+t AS (SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM t WHERE rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Name of the tokenizer file of op12 in the folder of public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@register("op12_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        return bpe.round_trip(table(spark, sf_dir, "documents"), f.read())
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
