@@ -101,6 +101,8 @@ class RunConfig:
     # fold numbering: number of md5 hex digits used to split a class into
     # independently ranked buckets (16**digits buckets per class)
     fold_bucket_digits: int = 4          # 65,536 rank buckets per class; offsets <= 196,608 rows
+    # rows of one bucket of the fold cache
+    rows_per_bucket: int = 500_000
     # largest row count of a table we broadcast after measuring it
     broadcast_max_rows: int = 1_000_000
     # and its largest size in bytes

@@ -17,6 +17,9 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,40 +141,60 @@ def _code_table(train: DataFrame, col: str, as_text_missing: bool) -> DataFrame:
     return sorted_positions(cats, "_v", f"{col}_code")
 
 
-def sorted_positions(values: DataFrame, col: str, out: str) -> DataFrame:
-    """0-based position of each row of ``values`` in ``col`` order, without a
+def sorted_positions(values: DataFrame, cols, out: str) -> DataFrame:
+    """0-based position of each row of ``values`` in the order of ``cols``, without a
     single-task window: the global sort range-partitions the rows, and
     ``monotonically_increasing_id`` tags each with (partition, index inside
     it).  The tagged table is checkpointed (reliably) so the position and the
     partition sizes below read the same tags, even after an executor loss.
     Position = rows in lower partitions + index; the offset table has one row
     per sort partition (bounded by the shuffle partition count)."""
-    tagged = cut_lineage(values.orderBy(col).select(col, F.monotonically_increasing_id().alias("_t")))
-    tagged = tagged.select(col, F.shiftright("_t", 33).alias("_p"),
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    tagged = cut_lineage(values.orderBy(*cols).select(*cols, F.monotonically_increasing_id().alias("_t")))
+    tagged = tagged.select(*cols, F.shiftright("_t", 33).alias("_p"),
                            F.col("_t").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
     sizes = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)   # sort partitions
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
     return (tagged.join(bounded_broadcast(offsets), "_p")
-            .select(col, (F.col("_off") + F.col("_i")).cast("int").alias(out)))
+            .select(*cols, (F.col("_off") + F.col("_i")).cast("int").alias(out)))
 
 
 def category_codes(train: DataFrame, rows: DataFrame, cols, as_text_missing: bool,
                    keep=("id",)) -> DataFrame:
-    """Codes from the training part's sorted categories; unseen -> -1.
-    ``as_text_missing``: NULL is the text 'nan' (a category of its own, ordinal
-    encoder); otherwise NULL stays missing (-1, frozen categorical)."""
+    """Codes from the training part's sorted categories.  ``as_text_missing``:
+    NULL is the text 'nan', a category of its own, and unseen values are -1
+    (ordinal encoder); otherwise missing and unseen values are NULL (frozen
+    categorical)."""
     out = rows
     for c in cols:
         codes = checked_broadcast(_code_table(train, c, as_text_missing))
         v = F.coalesce(F.col(c), F.lit("nan")) if as_text_missing else F.col(c)
-        out = (out.withColumn("_v", v).join(codes, "_v", "left").drop("_v")
-               .withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1))))
+        out = out.withColumn("_v", v).join(codes, "_v", "left").drop("_v")
+        if as_text_missing:
+            out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1)))
     if keep is None:
         return out
     return out.select(*keep, *[f"{c}_code" for c in cols])
 
 
+def fold_category_codes(exploded: DataFrame, cols, as_text_missing: bool, keep) -> DataFrame:
+    """``category_codes`` of every outer fold at once: ``exploded`` has a row per
+    (fold ``k``, row) with its ``role``; the categories of a fold are those of its
+    train rows.  One sort per column numbers the categories of all folds."""
+    out = exploded
+    for c in cols:
+        v = F.coalesce(F.col(c), F.lit("nan")) if as_text_missing else F.col(c)
+        cats = exploded.filter(F.col("role") == "train").select("k", v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+        at = sorted_positions(cats, ["k", "_v"], "_at")
+        first = at.groupBy("k").agg(F.min("_at").alias("_first"))                   # a row per fold
+        codes = checked_broadcast(at.join(bounded_broadcast(first), "k").select("k", "_v", (F.col("_at") - F.col("_first")).alias(f"{c}_code")))
+        out = out.withColumn("_v", v).join(codes, ["k", "_v"], "left").drop("_v")
+        if as_text_missing:
+            out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1)))
+    return out.select(*keep, *[f"{c}_code" for c in cols])
+
+
 # ---------------------------------------------------------------------------
 # standard scaling (M3) and nearest centre (M5)
 # ---------------------------------------------------------------------------
@@ -209,27 +232,17 @@ def nearest_centre(df: DataFrame, vec_col: str, centres: list[list[float]], keep
     ``centres`` are model parameters (k x d, bounded), inlined as literals."""
     v = F.col(vec_col)
     dists = []
-    for cvec in centres:
-        c = F.array(*[dlit(x) for x in cvec])
-        sq = F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), dlit(0.0), lambda acc, x: acc + x)
+    for cvec in centres:                                  # unrolled: no interpreted lambda per row
+        sq = reduce(add, [(v[i] - dlit(float(x))) * (v[i] - dlit(float(x))) for i, x in enumerate(cvec)])
         dists.append(F.sqrt(sq))
     arr = F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(dists)])
     best = F.array_min(arr)
     return df.select(*keep, best["i"].alias(id_out), best["d"].alias(dist_out))
 
 
-def label_centres(df: DataFrame, vec_col: str, label: str, max_cells: int = 1_000_000) -> tuple[list, list]:
-    """Mean vector per label and the labels.  The driver takes labels x
-    dimensions values as model parameters; more than ``max_cells`` is an error,
-    found by a count before anything is collected."""
-    cells = cut_lineage(df.select(label, F.posexplode(vec_col).alias("pos", "x"))
-                        .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    if (n := cells.count()) > max_cells:
-        raise ValueError(f"{n} label x dimension cells exceed {max_cells}: not a bounded set of centres")
-    rows = cells.collect()
-    labels = sorted({r[label] for r in rows})
-    dim = 1 + max(r["pos"] for r in rows)
-    out = {lab: [0.0] * dim for lab in labels}
-    for r in rows:
-        out[r[label]][r["pos"]] = r["m"]
-    return [out[lab] for lab in labels], labels
+def label_centres(df: DataFrame, vec_col: str, label: str) -> DataFrame:
+    """``label, centre``: the mean vector per label, a table of any size."""
+    cells = (df.select(label, F.posexplode(vec_col).alias("pos", "x"))
+             .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
+    return cells.groupBy(label).agg(F.transform(ordered, lambda s: s["m"]).alias("centre"))

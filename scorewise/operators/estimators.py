@@ -17,16 +17,15 @@ driver holds only parameters (scaler values, k x d centres, three shares).
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewise.config import INNER_FOLD_SEED_OFFSET, SEED, RunConfig
+from scorewise.config import CLUSTER_FEATURES, INNER_FOLD_SEED_OFFSET, SEED, RunConfig
 from scorewise.functions.columns import dlit
 from scorewise.operators import encode as en
 from scorewise.operators import features as fe
 from scorewise.operators.joins import bounded_broadcast
-from scorewise.operators.models import CLUSTER_FEATURES, fit_kmeans, in_id_order, scaled_array
+from scorewise.operators import kmeans as km
 from scorewise.session import cut_lineage
 
 CLASSES = en.CLASSES
@@ -46,6 +45,12 @@ class DerivedFeaturesModel(Model):
         return fe.derived_features(df, self.stats)
 
 
+def scaled_array(params: dict):
+    """The standardised cluster inputs as one array column (NULL -> 0)."""
+    return F.array(*[((F.coalesce(F.col(c).cast("double"), dlit(0.0)) - dlit(p["mean"])) / dlit(p["std"]))
+                     for c, p in params.items()])
+
+
 def _id_col(k: int) -> str:
     return f"cluster_id_k{k}"
 
@@ -63,10 +68,10 @@ class ClusterFeatures(Estimator):
     def _fit(self, train: DataFrame) -> "ClusterFeaturesModel":
         cfg = self.cfg
         params = en.scaler_values(en.fit_scaler(train, CLUSTER_FEATURES).first())
-        tr = cut_lineage(in_id_order(train.select("id", "y", scaled_array(params).alias("_cz"))))
-        tr_vec = tr.select(array_to_vector("_cz").alias("_cv"))
-        centres = {k: fit_kmeans(tr_vec, k, self.seed, cfg.kmeans_starts, cfg.kmeans_max_iter)
-                   for k in cfg.k_values}
+        tr = cut_lineage(km.with_hash(train.select(F.lit(0).alias("k"), "id", "y", scaled_array(params).alias("_cz"))))
+        fitted = km.fit_batched(tr, cfg.k_values, [self.seed], cfg.kmeans_starts, cfg.kmeans_max_iter)
+        centres = {k: fitted[0, k, self.seed].centres.tolist() for k in cfg.k_values}
+        tr = tr.drop("_h", "k")
         assigned = tr
         for k in cfg.k_values:
             assigned = en.nearest_centre(assigned, "_cz", centres[k], keep=assigned.columns,

@@ -28,18 +28,23 @@ def fold_hash(id_col: str, seed: int):
 
 
 def assign_folds(df: DataFrame, k: int = N_SPLITS, seed: int = SEED, id_col: str = "id",
-                 y_col: str = "y", digits: int | None = None, out: str = "fold") -> DataFrame:
+                 y_col: str = "y", digits: int | None = None, out: str = "fold", by=()) -> DataFrame:
+    """``by``: columns whose values are split apart from each other (one split per outer fold, say)."""
     digits = digits or RunConfig().fold_bucket_digits
+    keys = [*by, y_col, "_b"]
     hashed = (df.withColumn("_h", fold_hash(id_col, seed))
                 .withColumn("_b", F.substring("_h", 1, digits)))
-    local_w = Window.partitionBy(y_col, "_b").orderBy("_h", id_col)
+    local_w = Window.partitionBy(*keys).orderBy("_h", id_col)
     ranked = hashed.withColumn("_lr", F.row_number().over(local_w))
     # bucket sizes -> exclusive prefix sums per class (<= classes * 16**digits rows)
-    sizes = hashed.groupBy(y_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    cum_w = Window.partitionBy(y_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = sizes.select(y_col, "_b", (F.sum("_n").over(cum_w) - F.col("_n")).alias("_off"))
-    offsets = offsets.toDF("_oy", "_ob", "_off")
-    out_df = (ranked.join(bounded_broadcast(offsets), F.col(y_col).eqNullSafe(F.col("_oy")) & (F.col("_b") == F.col("_ob")))
+    sizes = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    cum_w = Window.partitionBy(*keys[:-1]).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = sizes.select(*keys, (F.sum("_n").over(cum_w) - F.col("_n")).alias("_off"))
+    offsets = offsets.toDF(*[f"_o{i}" for i in range(len(keys))], "_off")
+    meets = F.col("_b") == F.col(f"_o{len(keys) - 1}")
+    for i, c in enumerate(keys[:-1]):
+        meets = F.col(c).eqNullSafe(F.col(f"_o{i}")) & meets
+    out_df = (ranked.join(bounded_broadcast(offsets), meets)
               .withColumn(out, ((F.col("_off") + F.col("_lr") - 1) % k).cast("int")))
     return out_df.select(*df.columns, out)
 

@@ -27,6 +27,7 @@ from scorewise.operators import calibrate as ca
 from scorewise.operators import clean as cl
 from scorewise.operators import decide as de
 from scorewise.operators import metrics as me
+from scorewise.operators import fold_cache
 from scorewise.operators import models as mo
 from scorewise.operators import report as rp
 from scorewise.operators import select as se
@@ -61,19 +62,21 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     cl.assert_no_null_categories(cl.fill_categories(clean_fold), label="train")
 
     # parameter trials of each learner on the stored fold tables, band selection
-    tables = mo.all_fold_tables(clean_fold, test, cfg, cfg.seed, cfg.n_splits)
+    # one fold cache for the search, the final fit and every seed of the stability check
+    cache = fold_cache.build(clean_fold, test, cfg, dict.fromkeys((cfg.seed, *seeds)), cfg.n_splits)
+    log(f"fold cache {time.time() - t0:.1f}s")
     trials = {}
     for model, n in (dict(cfg.trials) if n_trials is None else dict.fromkeys(MODEL_NAMES, n_trials)).items():
         if not n:
             continue
-        t = mo.hp_trials(tables, clean_fold, model, n, cfg.seed)
+        t = cut_lineage(mo.hp_trials(cache, model, n, cfg.seed, n_splits=cfg.n_splits, ledger=f"{out}/ledger"))
         best = cut_lineage(se.select_best_in_band(t.withColumn("cand_id", F.col("trial_no"))))
         lp = mo.with_trial(lp, model, mo.trial_params(n, cfg.seed)[best.first()["band_best_id"]])
         trials[f"best_trial_{model}"] = best.join(F.broadcast(t), F.col("band_best_id") == F.col("trial_no")).select(
             *best.columns, "params")                       # one row
     log(f"trials {time.time() - t0:.1f}s")
 
-    oof, test_scores, iters = mo.train_oof(clean_fold, test, cfg, lp, tables=tables)
+    oof, test_scores, curves = mo.train_oof(clean_fold, test, cfg, lp, cache=cache)
     oof = cut_lineage(oof)
     test_scores = cut_lineage(test_scores) if test_scores is not None else None
     log(f"final fit {time.time() - t0:.1f}s")
@@ -97,7 +100,7 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
 
     # seed stability: same folds, features and models refitted per seed, equal blend
     def fit_seed(s):                                  # independent fits: run side by side
-        o, _, _ = mo.train_oof(clean_fold, None, cfg, lp, seed=s)
+        o, _, _ = mo.train_oof(clean_fold, None, cfg, lp, seed=s, cache=cache)
         return me.scores_long(o, {"eq": sources["eq"]}).withColumn("seed", F.lit(s))
 
     with ThreadPoolExecutor(max_workers=max(1, len(seeds))) as pool:
@@ -128,7 +131,7 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
         "setup": spark.createDataFrame([(ALPHA_ACCEPT_HREC, ALPHA_WF1_DELTA, "grid", f"{out}/folds")],
                                        "alpha_accept_hrec double, alpha_wf1_delta double, gate_search string, folds string"),
         **trials,
-        "iterations": mo.iteration_alerts(iters),
+        "iterations": mo.iteration_alerts(mo.best_iterations(curves)),
         "seed_stability": me.rounded(stability),
         "classification_report": me.classification_report(long_oof.filter(F.col("model") == "blend")),
     })

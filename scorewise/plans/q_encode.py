@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scorewise.config import (CAT_FEATURES, CLUSTER_FEATURES, CLUSTER_TE_FOLDS, FIXED_CLASS_WEIGHTS, INNER_FOLD_SEED_OFFSET,
@@ -13,6 +14,7 @@ from scorewise.operators import clean as cl
 from scorewise.operators import encode as en
 from scorewise.operators import features as fe
 from scorewise.operators import folds as fo
+from scorewise.operators import kmeans as km
 from scorewise.operators.metrics import rounded
 from scorewise.plans import sql as S
 from scorewise.plans.q_features import CLEAN_CTES, DERIVED_RAW, STATS, clean_survey_y
@@ -144,7 +146,7 @@ def _codes_sql(text_missing: bool) -> tuple:
             ctes.append((f"c{k}_{c}", f"SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM "
                                       f"(SELECT DISTINCT {v} AS v FROM fc WHERE fold <> {k} AND {v} IS NOT NULL) x"))
             joins.append(f"LEFT JOIN c{k}_{c} ON {v.replace(c, 'fc.' + c)} = c{k}_{c}.v")
-            cols.append(f"COALESCE(c{k}_{c}.code, -1) AS {c}_code")
+            cols.append(f"COALESCE(c{k}_{c}.code, -1) AS {c}_code" if text_missing else f"c{k}_{c}.code AS {c}_code")
         parts.append(f"SELECT CAST({k} AS INTEGER) AS k, id, CASE WHEN fold <> {k} THEN 'train' ELSE 'val' END AS role, "
                      f"{', '.join(cols)} FROM fc {' '.join(joins)}")
     return ctes, " UNION ALL ".join(parts)
@@ -152,19 +154,14 @@ def _codes_sql(text_missing: bool) -> tuple:
 
 def fold_codes(spark, d, as_text_missing: bool):
     f = cut_lineage(folded(spark, d).select("id", "fold", *CAT_FEATURES))
-    parts = []
-    for k in range(N_SPLITS):
-        rows = f.select(F.lit(k).alias("k"), "*", F.when(F.col("fold") != k, "train").otherwise("val").alias("role"))
-        parts.append(en.category_codes(rows.filter(F.col("fold") != k), rows, CAT_FEATURES, as_text_missing,
-                                       keep=("k", "id", "role")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return en.fold_category_codes(fo.explode_folds(f), CAT_FEATURES, as_text_missing, keep=("k", "id", "role"))
 
 
-_ORD_CTES, _ORD_BODY = _codes_sql(True)
+ORD_CTES, ORD_BODY = _codes_sql(True)
 _FRZ_CTES, _FRZ_BODY = _codes_sql(False)
 
 
-@register("ordinal_encode", oracle(*CLEAN_CTES, FOLDED, *_ORD_CTES, body=_ORD_BODY))
+@register("ordinal_encode", oracle(*CLEAN_CTES, FOLDED, *ORD_CTES, body=ORD_BODY))
 def q_ordinal_encode(spark, d):
     """Ordinal codes of every row under each of the five folds."""
     return fold_codes(spark, d, as_text_missing=True)
@@ -213,7 +210,20 @@ SELECT vec_id, cid AS cluster_id, ROUND(dist, 6) AS dist FROM dd
 QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY dist, cid) = 1"""))
 def q_centroid_distance(spark, d):
     emb = load(spark, d, "embeddings")
-    centres, labels = en.label_centres(emb, "embedding", "label")
-    out = en.nearest_centre(emb, "embedding", centres, keep=("vec_id",))
-    lab = F.array(*[F.lit(int(x)) for x in labels])
-    return rounded(out.select("vec_id", F.element_at(lab, F.col("cluster_id") + 1).alias("cluster_id"), "dist"))
+    centres = cut_lineage(en.label_centres(emb, "embedding", "label"))
+    return rounded(km.nearest_of(emb, "embedding", centres, "label", "centre", ["vec_id"]))
+
+
+@register("kmeans_round", oracle(_EMB, _CENT, _DIST, ("near", """SELECT vec_id, cid, dist FROM dd
+QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY dist, cid) = 1"""), ("moved", """
+  SELECT near.cid, e.pos, AVG(e.x) AS m FROM near JOIN e USING (vec_id) GROUP BY near.cid, e.pos"""), ("shift", """
+  SELECT moved.cid, SQRT(SUM((m - c) * (m - c))) AS shift FROM moved JOIN cent ON moved.cid = cent.cid AND moved.pos = cent.pos
+  GROUP BY moved.cid"""), ("lab", "SELECT cid, CAST(ROW_NUMBER() OVER (ORDER BY cid) - 1 AS INTEGER) AS centre FROM (SELECT DISTINCT cid FROM cent) x"),
+    body="""
+SELECT centre, COUNT(dist) AS n, ROUND(COALESCE(SUM(dist * dist), 0), 6) AS cost, ROUND(COALESCE(MAX(shift), 0), 6) AS shift
+FROM lab LEFT JOIN near ON near.cid = lab.cid LEFT JOIN shift ON shift.cid = lab.cid GROUP BY centre"""))
+def q_kmeans_round(spark, d):
+    """One k-means round over all vectors, from the label means as centres."""
+    emb = load(spark, d, "embeddings")
+    held = sorted((r[0], r[1]) for r in en.label_centres(emb, "embedding", "label").collect())       # a row per label: the k of the round
+    return rounded(km.lloyd_round(emb, "embedding", np.array([c for _, c in held]), "vec_id"))

@@ -1,5 +1,6 @@
 """No row is lost, and dirty values are cleaned, on input the fixtures lack."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,8 +81,16 @@ def test_scores_and_evidence_round_trip(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "evidence")).collect()] == ['{"a":1}']
 
 
-def test_label_centres_refuse_unbounded_labels(spark):
-    df = spark.range(50).select(F.col("id").alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
-    assert en.label_centres(df, "v", "label")[0][0] == [1.0, 2.0]
-    with pytest.raises(ValueError, match="100 label x dimension cells"):
-        en.label_centres(df, "v", "label", max_cells=99)
+def test_centres_of_any_number_are_taken_in_blocks(spark):
+    from scorewise.operators import kmeans as km
+    rnd = np.random.default_rng(1)
+    centres = rnd.standard_normal((70, 3))
+    table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "label long, centre array<double>")
+    points = [(i, [float(x) for x in p]) for i, p in enumerate(rnd.standard_normal((200, 3)))] + [(200, None), (201, [1.0]), (202, [float(x) for x in centres[9]])]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    one, many = ({r["id"]: (r["cluster_id"], r["dist"]) for r in km.nearest_of(df, "v", table, "label", "centre", ["id"], pass_cells=c).collect()}
+                 for c in (10_000, 12))
+    assert one == many and one[200] == one[201] == (None, None) and one[202] == (9, 0.0)
+    for i, p in points[:200]:
+        far = ((np.array(p) - centres) ** 2).sum(1)
+        assert one[i][0] == far.argmin() and abs(one[i][1] - far.min() ** 0.5) < 1e-9
