@@ -51,17 +51,22 @@ def count_true(cond: Column, weight: Column | None = None) -> Column:
 
 
 #: White space as the method's text strip knows it: ASCII and Unicode spaces.
-WHITE_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip_space(c) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(col(c).cast("string"), f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    return F.btrim(col(c).cast("string"), F.lit(WHITE_SPACE))
 
 
 def lenient_number(c) -> Column:
     """Text -> double when it is a plain number, else NULL (never raises)."""
-    c = strip_space(c)
+    return stripped_number(strip_space(c))
+
+
+def stripped_number(c: Column) -> Column:
+    """``lenient_number`` of text that is stripped already."""
     return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 

@@ -9,17 +9,20 @@ Categorical columns named in ``keep`` pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from scorewise.config import CAT_FEATURES, CLASS_LABELS, FLAG_TEXT_VALUES, MISSING_TOKEN
-from scorewise.functions.columns import dlit, lenient_number, safe_int, strip_space
+from scorewise.functions.columns import dlit, safe_int, strip_space, stripped_number
 
 
-def clean_text_value(c: str | Column) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    key = F.lower(strip_space(c))
+def text_key(c: str | Column) -> Column:
+    """Stripped, lower-case text: what the lookup and the number parse both read."""
+    return F.lower(strip_space(c))
+
+
+def value_of_key(key: Column) -> Column:
     by_value: dict[float, list[str]] = {}
     for text, value in FLAG_TEXT_VALUES.items():
         by_value.setdefault(value, []).append(text)
@@ -27,25 +30,19 @@ def clean_text_value(c: str | Column) -> Column:
     for value, texts in by_value.items():                 # disjoint text sets
         cond = key.isin(*texts)
         expr = F.when(cond, dlit(value)) if expr is None else expr.when(cond, dlit(value))
-    return expr.otherwise(F.coalesce(lenient_number(c), dlit(0.0)))
-
-
-def clean_column(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, NumericType):
-        return F.nanvl(F.coalesce(F.col(name).cast("double"), dlit(0.0)), dlit(0.0)).alias(name)
-    return clean_text_value(name).alias(name)
+    return expr.otherwise(F.coalesce(stripped_number(key), dlit(0.0)))
 
 
 def clean_frame(df: DataFrame, keep=(), passthrough=("id", "y")) -> DataFrame:
-    """Every column not in ``keep``/``passthrough`` becomes a non-null double."""
-    cols = []
-    for f in df.schema.fields:
-        if f.name in keep or f.name in passthrough:
-            cols.append(F.col(f.name))
-        else:
-            cols.append(clean_column(df, f.name))
-    return df.select(*cols)
+    """Every column not in ``keep``/``passthrough`` becomes a non-null double.  Text
+    is stripped in a first projection, so once per value."""
+    asis = {f.name for f in df.schema.fields if f.name in keep or f.name in passthrough}
+    number = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)} - asis
+    keyed = df.select(*[F.col(c) if c in asis | number else text_key(c).alias(c) for c in df.columns])
+    return keyed.select(*[
+        F.col(c) if c in asis else
+        (F.nanvl(F.coalesce(F.col(c).cast("double"), dlit(0.0)), dlit(0.0)) if c in number else value_of_key(F.col(c))).alias(c)
+        for c in df.columns])
 
 
 def preprocess_raw(df: DataFrame, passthrough=("id", "y")) -> DataFrame:
@@ -68,10 +65,41 @@ def unknown_labels(df: DataFrame, target: str = "target") -> DataFrame:
             .filter(~F.col(target).isin(*CLASS_LABELS) | F.col(target).isNull()))
 
 
-def assert_known_labels(df: DataFrame, target: str = "target") -> None:
-    bad = [r[0] for r in unknown_labels(df, target).orderBy(target).collect()]
+def assert_known_labels(df: DataFrame, target: str = "target", shown: int = 20) -> None:
+    """Fails on labels outside the label map; the message lists the first ``shown``."""
+    _refuse_labels(df, None, target, shown)
+
+
+def _refuse_labels(df: DataFrame, n: int | None, target: str, shown: int) -> None:
+    if n == 0:
+        return
+    bad = [r[0] for r in unknown_labels(df, target).orderBy(target).limit(shown).collect()]
     if bad:
-        raise ValueError(f"unknown class labels: {bad}")
+        rows = f" in {n} rows" if n else ""
+        raise ValueError(f"unknown class labels{rows}: {bad}" + (" and maybe more" if len(bad) == shown else ""))
+
+
+def read_checked(raw: DataFrame, write, id_col: str = "id", target: str = "target") -> tuple[DataFrame, dict]:
+    """Read step with its checks inside the one pass that writes the cleaned table.
+
+    ``write(df)`` stores a table and returns it (``session.cut_lineage``).  The
+    rows, the size of every class, the rows with an unknown label and the NULLs of
+    every kept category are observed on that write; nothing else scans the
+    input.  Unknown labels, or text that cleaning left over, fail."""
+    whole = encode_target(raw, target)
+    clean = preprocess_raw(whole.drop(target), passthrough=(id_col, "y"))
+    if left := text_columns_left(clean, passthrough=(id_col,)):
+        raise ValueError(f"text columns left after cleaning: {left}")
+    seen = Observation()
+    cats = [c for c in CAT_FEATURES if c in clean.columns]
+    count = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0).cast("long"))
+    watched = clean.observe(seen, F.count(F.lit(1)).alias("rows"), count(F.col("y").isNull()).alias("unknown_labels"),
+                            *[count(F.col("y").eqNullSafe(F.lit(i))).alias(f"class_{i}") for i in range(len(CLASS_LABELS))],
+                            *[count(F.col(c).isNull()).alias(f"null_{c}") for c in cats])
+    stored = write(watched)
+    report = dict(seen.get)
+    _refuse_labels(raw, report["unknown_labels"], target, 20)
+    return stored, report
 
 
 def decode_label(c: str | Column) -> Column:

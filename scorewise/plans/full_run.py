@@ -49,10 +49,8 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
         cfg: RunConfig = RunConfig(), lp: mo.LearnerParams = mo.LearnerParams(),
         n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print, template: DataFrame | None = None) -> dict:
     t0 = time.time()
-    cl.assert_known_labels(labelled)
-    train = cut_lineage(cl.read_scored_table(labelled))
-    if left := cl.text_columns_left(train):
-        raise ValueError(f"text columns left after cleaning: {left}")
+    train, seen = cl.read_checked(labelled, cut_lineage)       # one pass reads, checks and writes
+    log(f"classes and nulls: {seen}")
     test = (cut_lineage(cl.preprocess_raw(unlabelled.drop("target"), passthrough=("id",)))
             if unlabelled is not None else None)
     log(f"read {time.time() - t0:.1f}s")
