@@ -35,8 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from scorewise.llm.common import cut, fresh, text_of
+from scorewise.llm.common import fresh, text_of
+from scorewise.operators.joins import checked_broadcast
+from scorewise.session import cut_lineage
 
+#: Most digests (and rows that share a span) that are broadcast to leave the others where
+#: they are; beyond it the same semi join is a shuffle join.
+KNOWN_ROWS = 4_000_000
 WINDOW, REACH, REPEAT_REACH, MIN_BYTES, SEED = 16, 24, 12, 80, 9
 _GEAR = np.random.default_rng(SEED).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -124,9 +129,13 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks; copied: bytes of the run that are copies of an earlier occurrence;
     copies: the parts (start, end) of ``min_bytes`` or more that are copies, to
     be removed."""
-    every = one_row_each(cut(chunk_lists(docs, id_col, text_col, reach)))
+    lists = cut_lineage(chunk_lists(docs, id_col, text_col, reach))
+    # digests alone are counted first: a chunk that occurs once is never moved
+    often = (lists.select(F.explode("digest").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select("digest"))
+    every = cut_lineage(one_row_each(lists).join(checked_broadcast(often, KNOWN_ROWS), "digest", "left_semi"))
     first = F.min(F.struct("doc_id", "row", "start"))
-    groups = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").select("digest", "first")
+    groups = every.groupBy("digest").agg(first.alias("first"))
     shared = every.join(groups, "digest").withColumn(
         "copied", F.when((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start")), 0).otherwise(F.col("end") - F.col("start")))
     order = Window.partitionBy("row").orderBy("start")            # the chunks of one document
@@ -182,8 +191,9 @@ def documents_with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document that shares a span: ``doc_id, n_spans, shared_bytes,
     copied_bytes, spans`` (byte start:end, by start), ``copied_spans`` (those to
     remove), ``left_bytes, left_sha256`` (the whole text without them)."""
-    per = spans_of_rows(docs, id_col, text_col, reach, min_bytes)
+    per = cut_lineage(spans_of_rows(docs, id_col, text_col, reach, min_bytes))
     texts = _numbered(docs.select(F.col(id_col).alias("t_id"), text_of(text_col).cast("binary").alias("text")), "row")
+    texts = texts.join(checked_broadcast(per.select("row"), KNOWN_ROWS), "row", "left_semi")       # texts without a span stay where they are
     per = per.join(texts, "row").withColumn("left", _left(F.col("text"), F.col("copies")))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return per.select(_checked(F.col("doc_id"), F.col("t_id")).alias("doc_id"), "n_spans", "shared_bytes", "copied_bytes", text("at").alias("spans"),
@@ -199,9 +209,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is read twice and must give its rows in one order (a table does)."""
     per = spans_of_rows(docs, id_col, text_col, reach, min_bytes).filter(F.size("copies") > 0)
     row, own, copies = fresh(docs, "row", "own_id", "copies")
-    per = per.select(F.col("row").alias(row), F.col("doc_id").alias(own), F.col("copies").alias(copies))
-    out = _numbered(docs, row).join(per, row, "left")
-    text = F.when(F.col(copies).isNull(), F.col(text_col)).otherwise(
-        _left(text_of(text_col).cast("binary"), F.coalesce(F.col(copies), F.array().cast("array<struct<start:int,end:int>>"))).cast("string"))
-    same_id = F.when(F.col(copies).isNull(), F.col(id_col)).otherwise(_checked(F.col(own), F.col(id_col)))
-    return out.withColumn(text_col, text).withColumn(id_col, same_id).select(*docs.columns)
+    per = cut_lineage(per.select(F.col("row").alias(row), F.col("doc_id").alias(own), F.col("copies").alias(copies)))
+    known = checked_broadcast(per.select(row), KNOWN_ROWS)
+    numbered = _numbered(docs, row)                       # only rows that lose a span are moved to meet their spans
+    cut_rows = numbered.join(known, row, "left_semi").join(per, row)
+    text = _left(text_of(text_col).cast("binary"), F.col(copies)).cast("string")
+    cut_rows = cut_rows.withColumn(text_col, text).withColumn(id_col, _checked(F.col(own), F.col(id_col)))
+    return numbered.join(known, row, "left_anti").select(*docs.columns).unionByName(cut_rows.select(*docs.columns))
