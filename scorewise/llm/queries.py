@@ -96,13 +96,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
 
+def _time_sql(words: str) -> str:
+    """Time at which the demand of a source reaches so many words."""
+    q = f"({words}) / target"
+    return f"CASE WHEN ramp = 0 THEN {q} ELSE (ramp - 1 + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * {q})) / (2 * ramp) END"
+
+
 @register("op10_mixing", f"""
 WITH d AS (
   SELECT doc_id, COALESCE('s' || source, 't') AS src, CAST({_WORDS} AS BIGINT) AS size,
          md5(COALESCE(CAST(doc_id AS VARCHAR), '') || '-42') AS place FROM documents),
 s AS (
   SELECT src, CAST(SUM(size) AS BIGINT) AS source_size,
-         CASE (ROW_NUMBER() OVER (ORDER BY encode(src)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w
+         CASE (ROW_NUMBER() OVER (ORDER BY encode(src)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w,
+         CASE (ROW_NUMBER() OVER (ORDER BY encode(src)) - 1) % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0 ELSE -0.5 END AS ramp
   FROM d GROUP BY src),
 c AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * SUM(source_size) OVER () AS budget FROM s),
@@ -110,18 +117,22 @@ f AS (
   SELECT a.*, COALESCE((SELECT SUM(b.cap) FROM c b WHERE b.cap / b.w < a.cap / a.w), 0) AS taken_caps,
          (SELECT SUM(b.w) FROM c b WHERE b.cap / b.w >= a.cap / a.w) AS open_w FROM c a),
 l AS (SELECT ARG_MIN((budget - taken_caps) / open_w, cap / w) FILTER (WHERE (budget - taken_caps) / open_w <= cap / w) AS level FROM f),
-t AS (SELECT src, source_size, CASE WHEN level IS NULL THEN cap ELSE LEAST(cap, level * w) END AS target FROM f, l),
+t AS (SELECT src, source_size, ramp, CASE WHEN level IS NULL THEN cap ELSE LEAST(cap, level * w) END AS target FROM f, l),
 p AS (
-  SELECT d.*, source_size, target,
+  SELECT d.*, source_size, target, ramp,
          SUM(size) OVER (PARTITION BY d.src ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN t ON d.src = t.src)
+  FROM d JOIN t ON d.src = t.src),
+m AS (SELECT *, start + size / 2.0 AS one, start + source_size + size / 2.0 AS two FROM p)
 SELECT doc_id, size, source_size, ROUND(target, 4) AS target,
+  ROUND(CASE WHEN size > 0 AND one <= target THEN {_time_sql('one')} END, 6) AS first_time,
+  ROUND(CASE WHEN size > 0 AND two <= target THEN {_time_sql('two')} WHEN size > 0 AND one <= target THEN {_time_sql('one')} END, 6) AS last_time,
   CAST(CASE WHEN size = 0 THEN 0 ELSE size * ((CASE WHEN start + size / 2.0 <= target THEN 1 ELSE 0 END)
     + (CASE WHEN start + source_size + size / 2.0 <= target THEN 1 ELSE 0 END)) END AS BIGINT) AS taken
-FROM p""")
+FROM m""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    ends = [F.round(F.get("times", i), 6).alias(n) for i, n in ((F.lit(0), "first_time"), (F.col("copies") - 1, "last_time"))]
+    return plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), *ends, "taken")
 
 
 @register("op10_mixing_times")

@@ -45,3 +45,19 @@ def test_training_order_depends_on_the_ramps(spark, sf):
     assert flat.doc_id.tolist() != got.doc_id.tolist()
     assert MX.training_order(d.limit(0)).count() == 0
     assert QUERIES["op10_mixing_times"](spark, sf).columns == ["doc_id", "copy", "time", "position"]
+
+
+def test_mixing_rows_carry_the_curriculum(spark, sf):
+    """The rows follow the ramps, and equal their SQL."""
+    from scorewise.llm import mixing
+    from scorewise.llm.common import table
+    from scorewise.llm.queries import ORACLES, QUERIES
+    from tests.oracle_util import _rows, duck_connection
+    got = QUERIES["op10_mixing"](spark, sf)
+    cur = duck_connection(sf).execute(ORACLES["op10_mixing"])
+    cols = [d[0] for d in cur.description]
+    rows = _rows(got.columns, [tuple(r) for r in got.collect()])
+    assert rows == _rows(cols, cur.fetchall()) and sorted(cols) == sorted(got.columns)
+    flat = mixing.plan_mix(table(spark, sf, "documents"), ramps=(0.0,)).selectExpr("doc_id", "round(times[0], 6) AS t").filter("t IS NOT NULL")
+    moved = got.join(flat, "doc_id").filter("first_time <> t").count()
+    assert moved > got.count() // 4
