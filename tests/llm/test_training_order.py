@@ -58,6 +58,6 @@ def test_mixing_rows_carry_the_curriculum(spark, sf):
     cols = [d[0] for d in cur.description]
     rows = _rows(got.columns, [tuple(r) for r in got.collect()])
     assert rows == _rows(cols, cur.fetchall()) and sorted(cols) == sorted(got.columns)
-    flat = mixing.plan_mix(table(spark, sf, "documents"), ramps=(0.0,)).selectExpr("doc_id", "round(times[0], 6) AS t").filter("t IS NOT NULL")
+    flat = mixing.plan_mix(table(spark, sf, "documents"), ramps=(0.0,)).selectExpr("doc_id", "round(get(times, 0), 6) AS t").filter("t IS NOT NULL")
     moved = got.join(flat, "doc_id").filter("first_time <> t").count()
     assert moved > got.count() // 4
