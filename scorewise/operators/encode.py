@@ -178,17 +178,24 @@ def category_codes(train: DataFrame, rows: DataFrame, cols, as_text_missing: boo
     return out.select(*keep, *[f"{c}_code" for c in cols])
 
 
+def fold_codes_of(train: DataFrame, col: str, as_text_missing: bool) -> DataFrame:
+    """``k, _v, <col>_code``: the sorted categories of every fold's train rows; one
+    sort numbers those of all folds."""
+    v = F.coalesce(F.col(col), F.lit("nan")) if as_text_missing else F.col(col)
+    cats = train.select("k", v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    at = sorted_positions(cats, ["k", "_v"], "_at")
+    first = at.groupBy("k").agg(F.min("_at").alias("_first"))                       # a row per fold
+    return at.join(bounded_broadcast(first), "k").select("k", "_v", (F.col("_at") - F.col("_first")).alias(f"{col}_code"))
+
+
 def fold_category_codes(exploded: DataFrame, cols, as_text_missing: bool, keep) -> DataFrame:
     """``category_codes`` of every outer fold at once: ``exploded`` has a row per
     (fold ``k``, row) with its ``role``; the categories of a fold are those of its
-    train rows.  One sort per column numbers the categories of all folds."""
+    train rows."""
     out = exploded
     for c in cols:
         v = F.coalesce(F.col(c), F.lit("nan")) if as_text_missing else F.col(c)
-        cats = exploded.filter(F.col("role") == "train").select("k", v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-        at = sorted_positions(cats, ["k", "_v"], "_at")
-        first = at.groupBy("k").agg(F.min("_at").alias("_first"))                   # a row per fold
-        codes = checked_broadcast(at.join(bounded_broadcast(first), "k").select("k", "_v", (F.col("_at") - F.col("_first")).alias(f"{c}_code")))
+        codes = checked_broadcast(fold_codes_of(exploded.filter(F.col("role") == "train"), c, as_text_missing))
         out = out.withColumn("_v", v).join(codes, ["k", "_v"], "left").drop("_v")
         if as_text_missing:
             out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1)))

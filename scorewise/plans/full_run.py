@@ -74,7 +74,7 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
             *best.columns, "params")                       # one row
     log(f"trials {time.time() - t0:.1f}s")
 
-    oof, test_scores, curves = mo.train_oof(clean_fold, test, cfg, lp, cache=cache)
+    oof, test_scores, curves = mo.train_oof(clean_fold, test, cfg, lp, cache=cache, keep=f"{out}/models")
     oof = cut_lineage(oof)
     test_scores = cut_lineage(test_scores) if test_scores is not None else None
     log(f"final fit {time.time() - t0:.1f}s")
