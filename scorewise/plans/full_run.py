@@ -47,7 +47,8 @@ def split_holdout(raw: DataFrame, share: float, seed: int) -> tuple[DataFrame, D
 
 def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None, out: str,
         cfg: RunConfig = RunConfig(), lp: mo.LearnerParams = mo.LearnerParams(),
-        n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print, template: DataFrame | None = None) -> dict:
+        n_trials: int | None = None, seeds=SEED_STABILITY_SEEDS, log=print, template: DataFrame | None = None,
+        search_lp: mo.LearnerParams = mo.SEARCH_LEARNERS) -> dict:
     t0 = time.time()
     train, seen = cl.read_checked(labelled, cut_lineage)       # one pass reads, checks and writes
     log(f"classes and nulls: {seen}")
@@ -67,9 +68,9 @@ def run(spark: SparkSession, labelled: DataFrame, unlabelled: DataFrame | None,
     for model, n in (dict(cfg.trials) if n_trials is None else dict.fromkeys(MODEL_NAMES, n_trials)).items():
         if not n:
             continue
-        t = cut_lineage(mo.hp_trials(cache, model, n, cfg.seed, n_splits=cfg.n_splits, ledger=f"{out}/ledger"))
+        t = cut_lineage(mo.hp_trials(cache, model, n, cfg.seed, base=search_lp, ledger=f"{out}/ledger"))
         best = cut_lineage(se.select_best_in_band(t.withColumn("cand_id", F.col("trial_no"))))
-        lp = mo.with_trial(lp, model, mo.trial_params(n, cfg.seed)[best.first()["band_best_id"]])
+        lp = mo.with_trial(lp, model, mo.trial_params(n, cfg.seed, search_lp)[best.first()["band_best_id"]])
         trials[f"best_trial_{model}"] = best.join(F.broadcast(t), F.col("band_best_id") == F.col("trial_no")).select(
             *best.columns, "params")                       # one row
     log(f"trials {time.time() - t0:.1f}s")
