@@ -27,6 +27,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of scratch tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of ids that may be sent to every task to filter a table; beyond, the filter is a shuffle join.
+MAX_DROPPED = 500_000
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """``docs`` less the rows that match the narrow table ``gone`` (written
+    already).  Up to ``MAX_DROPPED`` rows, counted first, are broadcast, so that
+    no text is shuffled."""
+    n = gone.count()
+    if not n:
+        return docs
+    return docs.join(F.broadcast(gone) if n <= MAX_DROPPED else gone, on, "left_anti")
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -39,6 +39,7 @@ from scorewise.llm.common import (
     small_pairs,
     text_of,
     whole_cells,
+    without_rows,
 )
 from scorewise.llm.components import components
 
@@ -142,15 +143,15 @@ def drop_near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with the document of smallest id of each group, all columns.
     Rows that repeat that doc_id with the same text are one document."""
     found = cut(near_documents(docs, id_col, text_col, shingle, distance))
-    h, = fresh(docs, "h")
+    h, g_id, g_h = fresh(docs, "h", "g_id", "g_h")
     keyed = docs.withColumn(h, F.xxhash64(text_of(text_col)))
     kept = (F.col("doc_id").eqNullSafe(F.col("component_id")))
     # the smallest doc_id may name several texts of one group: the smallest h stays
     best = found.filter(kept).groupBy("fp", "component_id").agg(F.min("h").alias("h0")).groupBy("component_id").agg(
         F.min("h0").alias("h0"))
     found = found.join(best.withColumnRenamed("component_id", "c"), same([F.col("component_id")], [F.col("c")]), "left")
-    gone = found.filter(~(kept & (F.col("h") == F.col("h0")))).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"))
+    gone = found.filter(~(kept & (F.col("h") == F.col("h0")))).select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h))
     many = (found.filter(kept).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             .select(F.col("doc_id").alias(id_col), F.col("h").alias(h)))
-    left = keyed.join(gone.distinct(), same([F.col(id_col), F.col(h)], [F.col("g_id"), F.col("g_h")]), "left_anti")
+    left = without_rows(keyed, cut(gone.distinct()), same([F.col(id_col), F.col(h)], [F.col(g_id), F.col(g_h)]))
     return one_row_per_key(left, [id_col, h], many).drop(h)
