@@ -9,9 +9,13 @@ risk ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))``
 The network's output is turned into a chance by one logistic curve over the
 learning labels (both classes), so that a score can be held against 0.7.
 
-Fitting uses at most ``max_positive`` trusted positives, ``max_unlabelled``
-documents and ``max_labelled`` labels for the curve, the first of each in the
-order of a hash of the id; the bounds are parameters.  Every document is scored.
+Every document of the table is unlabelled text of the fit: tasks add the
+features of all documents up by cells (the signs of ``bits`` fixed projections),
+and the risk runs over the means of the cells, each weighted by its exact number
+of documents.  Sums are whole numbers, so reruns and other partitions give the
+same model; at most 2^bits rows reach the driver.  Of labelled rows, at most
+``max_positive`` trusted positives and ``max_labelled`` labels for the curve are
+used, the first in the order of a hash of the id.  Every document is scored.
 
 Features come from the text alone.  A null text counts as empty and is scored.
 Labels that are null, or whose doc_id is null or unknown, teach nothing; a
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 
 from scorewise.llm.common import cut, text_of
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED, THRESHOLD, FOLDS, HELD = 8_000, 12_000, 8_000, 0.7, 4, 2
-HIDDEN, STEPS, SEED = 16, 1500, 11
+MAX_POSITIVE, MAX_LABELLED, THRESHOLD, FOLDS, HELD = 8_000, 8_000, 0.7, 4, 2
+HIDDEN, STEPS, SEED, BITS, UNITS_OF_ONE = 16, 1500, 11, 14, 1 << 24
 
 #: Byte classes: 0 other, 1 lower-case or non-ASCII letter, 2 capital, 3 digit, 4 space, 5 line end,
 #: 6 sentence mark, 7 bar or arrow, 8 exclamation mark, 9 sign (# $ % & * and the like), 10 bracket or quote.
@@ -80,17 +84,21 @@ class Network:
         return self.hidden(x) @ c + d[0]
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, steps: int = STEPS,
-           seed: int = SEED, rate: float = 0.01, batch: int = 512, decay: float = 1e-4) -> Network:
-    """Minimise the non-negative risk by Adam over shuffled minibatches."""
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weight: np.ndarray | None = None, hidden: int = HIDDEN,
+           steps: int = STEPS, seed: int = SEED, rate: float = 0.01, batch: int = 512, decay: float = 1e-4) -> Network:
+    """Minimise the non-negative risk by Adam over minibatches; ``weight``: documents
+    that each unlabelled row stands for (it is drawn that often)."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate([positive, unlabelled])
-    net = Network(every.mean(axis=0), every.std(axis=0) + 1e-6, [
-        rng.normal(0, 1 / np.sqrt(every.shape[1]), (every.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)])
+    weight = np.ones(len(unlabelled)) if weight is None else weight
+    cum = np.cumsum(weight / weight.sum())
+    mean = np.average(unlabelled, axis=0, weights=weight)
+    std = np.sqrt(np.average((unlabelled - mean) ** 2, axis=0, weights=weight))
+    net = Network(mean, np.maximum(std, positive.std(axis=0)) + 1e-6, [
+        rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)])
     m, v = [np.zeros_like(p) for p in net.params], [np.zeros_like(p) for p in net.params]
     for step in range(1, steps + 1):
         p = positive[rng.integers(0, len(positive), min(batch, len(positive)))]
-        u = unlabelled[rng.integers(0, len(unlabelled), min(2 * batch, len(unlabelled)))]
+        u = unlabelled[np.minimum(np.searchsorted(cum, rng.random(2 * batch), "right"), len(cum) - 1)]
         x = np.concatenate([p, u])
         h = net.hidden(x)
         z = h @ net.params[2] + net.params[3][0]
@@ -155,8 +163,48 @@ def _first(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
+class Cells:
+    """Cell of a feature row: on which side of a reference sample's median it
+    lies along each of ``bits`` random directions."""
+
+    def __init__(self, sample: np.ndarray, bits: int = BITS, seed: int = SEED):
+        self.mean, self.scale = sample.mean(axis=0), sample.std(axis=0) + 1e-6
+        self.directions = np.random.default_rng(seed).normal(size=(sample.shape[1], bits))
+        self.middle = np.median(self._along(sample), axis=0)
+
+    def _along(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -20, 20) @ self.directions
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (self._along(x) > self.middle) @ (1 << np.arange(self.directions.shape[1]))
+
+
+def cell_means(texts: DataFrame, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the features of all ``texts(text binary)`` in each cell, and the
+    number of texts there.  A task keeps one row of sums per cell it meets."""
+    names = [f"x{i}" for i in range(N_FEATURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = np.array([features(t.as_py()) for t in b.column("text")], float).reshape(-1, N_FEATURES)
+            rows = np.concatenate([np.ones((len(x), 1), np.int64), np.rint(x * UNITS_OF_ONE).astype(np.int64)], axis=1)
+            for c, row in zip(cells(x).tolist(), rows, strict=True):
+                if c in held:
+                    held[c] += row
+                else:
+                    held[c] = row.copy()
+        if held:
+            sums = np.stack(list(held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *[pa.array(col) for col in sums.T]], ["cell", "n", *names])
+    kind = ", ".join(f"{c} long" for c in ["cell", "n", *names])
+    got = texts.mapInArrow(run, kind).groupBy("cell").agg(*[F.sum(c).alias(c) for c in ["n", *names]]).orderBy("cell").toPandas()
+    n = got.n.to_numpy(float)
+    return got[names].to_numpy(float) / UNITS_OF_ONE / n[:, None], n
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_labelled: int = MAX_LABELLED) -> QualityModel:
+                max_positive: int = MAX_POSITIVE, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> QualityModel:
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     lab = lab.filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     lab = cut(lab.groupBy("doc_id").agg(F.min("y").alias("y")))
@@ -167,9 +215,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return QualityModel(None, (0.0, 0.0), prior)
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
     pick = (_first(lab.filter("y = 1").join(ids, "doc_id"), max_positive).select("doc_id", F.lit("p").alias("use"), F.lit(1).alias("y"))
-            .unionByName(_first(lab.join(ids, "doc_id"), max_labelled).select("doc_id", F.lit("l").alias("use"), "y"))
-            .unionByName(_first(ids, max_unlabelled).select("doc_id", F.lit("u").alias("use"), F.lit(-1).alias("y"))))
-    pick = cut(pick)                                       # at most max_positive + max_labelled + max_unlabelled rows
+            .unionByName(_first(lab.join(ids, "doc_id"), max_labelled).select("doc_id", F.lit("l").alias("use"), "y")))
+    pick = cut(pick)                                       # at most max_positive + max_labelled rows
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     sample = texts.join(F.broadcast(pick.select("doc_id").distinct()), "doc_id")
 
@@ -180,9 +227,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     x = sample.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
     got = pick.join(x, "doc_id").orderBy("use", F.xxhash64("doc_id"), "doc_id").select("use", "y", "x").toPandas()
     part = lambda u: np.stack(got.x[got.use == u].to_numpy())
-    if not {"p", "l", "u"} <= set(got.use):
+    if not {"p", "l"} <= set(got.use):
         return QualityModel(None, (0.0, 0.0), prior)
-    net = fit_pu(part("p"), part("u"), prior)
+    means, n = cell_means(texts.select("text"), Cells(part("l"), bits))
+    net = fit_pu(part("p"), means, prior, n)
     return QualityModel(net, fit_curve(net(part("l")), got.y[got.use == "l"].to_numpy()), prior)
 
 
