@@ -6,10 +6,13 @@ Stages:
 
 1. keyword prefilter: texts without any anchor keyword are not split into words;
 2. every anchor word of the others gives a window of ``REACH`` words to both
-   sides (windows, not whole texts, go on, so cost follows the text's length);
-3. rules join windows by anchor word (the rule table is a parameter and small)
-   and give detections with start and end word;
-4. suppression: of detections of one document, one that lies within another is
+   sides; only windows that some rule of the anchor matches (one literal
+   pattern per anchor, compiled once a task) go on;
+3. rules join these windows by anchor word (the rule table is a parameter and
+   small) and give detections with start and end word;
+4. license texts: a header and the clauses that follow it, within ``SCOPE`` words
+   and before the next header, decide the label together (``TEXT_LABELS``);
+5. suppression: of detections of one document, one that lies within another is
    dropped; of equal intervals the one of higher priority stays.
 
 Base phrases are rules as well, counted at every place and never suppressed.
@@ -20,13 +23,17 @@ and score 0.  Rows that repeat a doc_id are scanned each.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewise.llm.common import LOWER, UPPER, cut, text_of
 
-REACH = 16
+#: Words of a window to each side of its anchor; ``check_rules`` refuses longer rules.
+REACH = 24
+#: Words in which the clauses of a license text follow its header.
+SCOPE = 400
 #: Fixed values of the method: base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: License families: label, words of the name, words of the SPDX identifier.
@@ -89,19 +96,40 @@ NOTICES = [
     ("public-domain", "domain", "(in|into|to) the public ", "domain"), ("public-domain", "domain", "public ", "domain dedication"),
     ("all-rights-reserved", "reserved", "all rights ", "reserved"), ("proprietary", "proprietary", "", "proprietary and confidential"),
     ("copyright-notice", "copyright", "", "copyright (c )?((19|20)[0-9]{2}|by)"), ("unlicense", "unencumbered", "free and ", "unencumbered software released into the public domain"),
-    ("mit", "charge", "permission is hereby granted free of ", "charge to any person obtaining a copy"),
-    ("isc", "purpose", "permission to use copy modify and or distribute this software for any ", "purpose with or without fee"),
-    ("bsd-3", "redistribution", "", "redistribution and use in source and binary forms"),
+    ("zlib", "authors", "in no event will the ", "authors be held liable for any damages"), ("wtfpl", "fuck", "do what the ", "fuck you want to( public licen[cs]e)?"),
+    ("boost-1", "charge", "permission is hereby granted free of ", "charge to any person or organization obtaining a copy"),
     ("cc0", "cc0", "", "cc0( 1 0)?( universal)?"), ("gpl-2", "gplv2", "", "gplv2"), ("gpl-3", "gplv3", "", "gplv3"), ("lgpl-3", "lgplv3", "", "lgplv3"),
     ("agpl-3", "agplv3", "", "agplv3"), ("gpl", "gpl", "", "gpl"), ("lgpl", "lgpl", "", "lgpl"), ("agpl", "agpl", "", "agpl"), ("bsd", "bsd", "", "bsd"),
 ]
+#: Frames that make the German word "mit" a license name: anchor word, words before, words from the anchor on.
+MIT_FRAMES = [("(under|the|an?|is|uses|expat|and|or|of|same) mit ", "{}(?! plates?)"), ("mit ", "{}(?= (copyright|permission|c|see|version)| ?$)"),
+              ("", "{} mit(?= (licen[cs]e|copyright|and|or|see|c|version|authors?)| ?$)")]
+#: Headers of the free software foundation's notices: label, name before the anchor, versions.
+GNU_NOTICES = [("gpl", "", ["1", "2", "3"]), ("lgpl", "(lesser|library) ", ["2", "2 1", "3"]), ("agpl", "affero ", ["3"])]
+#: License texts: family, part (the header or a clause), anchor word, words before, words from the anchor on.
+TEXTS = [
+    ("bsd", "head", "redistribution", "", "redistribution and use in source and binary forms"),
+    ("bsd", "binary", "redistributions", "", "redistributions in binary form must reproduce"), ("bsd", "names", "neither", "", "neither the names? of"),
+    ("bsd", "names", "endorse", "be used to ", "endorse or promote products"), ("bsd", "advertising", "advertising", "all ", "advertising materials mentioning features"),
+    ("mit", "head", "charge", "permission is hereby granted free of ", "charge to any person obtaining a copy"),
+    ("mit", "notice", "permission", "above copyright notice and this ", "permission notice"), ("mit", "except", "except", "", "except as contained in this notice"),
+    ("mit", "warranty", "merchantability", "limited to the warranties of ", "merchantability"),
+    ("isc", "head", "purpose", "permission to use copy modify and( or)? distribute this software for any ", "purpose with or without fee"),
+    ("isc", "notice", "provided", "", "provided that the above copyright notice"), ("isc", "warranty", "disclaims", "", "disclaims all warranties"),
+]
+#: Labels of a header by a clause that follows it, the first that fits; an empty clause always does.
+TEXT_LABELS = [("bsd", "advertising", "bsd-4"), ("bsd", "names", "bsd-3"), ("bsd", "binary", "bsd-2"), ("bsd", "", "bsd"),
+               ("mit", "except", "x11"), ("mit", "notice", "mit"), ("mit", "warranty", "mit-0"), ("mit", "", "mit"),
+               ("isc", "notice", "isc"), ("isc", "warranty", "bsd-0"), ("isc", "", "isc")]
 RULE_SCHEMA = ("rule string, label string, kind string, priority int, confidence double, anchor string, "
                "before string, after string")
 
 
 def rules() -> list[tuple]:
     """The ordered rules: base phrases, SPDX tags, grants, mentions, Creative
-    Commons names, notices.  A higher priority wins over an equal interval."""
+    Commons names, notices, headers and clauses of license texts (kinds ``head``
+    and ``clause``, label ``family:part``).  A higher priority wins over an equal
+    interval."""
     out: list[tuple] = []
 
     def add(label, kind, priority, confidence, anchor, before, after):
@@ -117,6 +145,10 @@ def rules() -> list[tuple]:
         for word in ("licensed", "released", "distributed", "available"):
             add(label, "method", 80, 0.95, word, "", f"{word} under (the )?(terms of the )?({name})( licen[cs]e)?")
         for word in ("license", "licence"):
+            if label == "mit":
+                for before, after in MIT_FRAMES:
+                    add(label, "method", 60, 0.8, word, before, after.format(word))
+                continue
             add(label, "method", 60, 0.8, word, f"({name}) ", word)
             add(label, "method", 70, 0.9, word, "", f"{word} ({name})")
     for label, anchor, before, head, versions in NAMED:
@@ -132,6 +164,35 @@ def rules() -> list[tuple]:
         add(f"cc-{part}", "method", 50, 0.85, "creative", "", f"creative commons {long}")
     for label, anchor, before, after in NOTICES:
         add(label, "method", 30, 0.6, anchor, before, after)
+    for label, name, versions in GNU_NOTICES:
+        for v in versions:
+            add(f"{label}-{v.replace(' ', '.')}", "method", 85, 0.95, "foundation", f"(gnu )?{name}general public licen[cs]e as published by the free software ",
+                f"foundation( either)? version {v}( 0)? of the licen[cs]e( or( at your option)? any later version)?")
+    for family, part, anchor, before, after in TEXTS:
+        add(f"{family}:{part}", "head" if part == "head" else "clause", 85, 0.9, anchor, before, after)
+    return out
+
+
+def check_rules(table: list[tuple]) -> None:
+    """Refuse rules that may be longer than a window.  Every blank of a pattern
+    counts; blanks and groups may not repeat."""
+    for rule, _, _, _, _, _, before, after in table:
+        if re.search(r"[ ).\]][*+{]", re.sub(r"\[0-9\]\{\d\}", "", before + after)):
+            raise ValueError(f"rule {rule}: words may not repeat without a bound")
+        if max(before.count(" "), after.count(" ")) >= REACH:
+            raise ValueError(f"rule {rule}: longer than a window of {REACH} words")
+        if before and not before.endswith(" "):
+            raise ValueError(f"rule {rule}: words before the anchor end with a blank")
+
+
+def window_gates(table: list[tuple]) -> dict[str, str]:
+    """By anchor word, the pattern over ``before#after`` that holds where any of its rules matches."""
+    out = {}
+    for word in anchors(table):
+        mine = [(r[6], r[7]) for r in table if r[5] == word]
+        framed = [f"(?:{b})#(?:{a}) " for b, a in mine if b]
+        plain = [f"(?:{a}) " for b, a in mine if not b]
+        out[word] = "|".join([f"(?<![^ ])(?:{'|'.join(framed)})"] * bool(framed) + [f"#(?:{'|'.join(plain)})"] * bool(plain))
     return out
 
 
@@ -151,9 +212,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     detections ``row, rule, label, kind, priority, confidence, first, end``
     (words from 0, end exclusive) before suppression."""
     table = table or rules()
+    check_rules(table)
     spark = docs.sparkSession
     words = anchors(table)
-    gate = "(?i)" + "|".join(words)
+    gate = "(?i)" + "|".join(anchors([r for r in table if r[2] != "clause"]))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     one = _one_spaced(F.col("text"))
     n_words = (F.octet_length(one) - F.octet_length(F.replace(one, F.lit(" "), F.lit(""))) + F.when(one == "", 0).otherwise(1)).cast("long")
@@ -164,7 +226,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
         F.concat(F.array_join(F.slice("w", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))), " "), F.lit(" ")).alias("before"),
         F.concat(F.array_join(F.slice("w", i + 1, REACH), " "), F.lit(" ")).alias("after")))
     rows = rows.select("doc_id", n_words.alias("n_words"), F.when(F.col("text").rlike(gate), w).alias("w"))
-    rows = rows.withColumn("at", at).select("doc_id", "n_words", near.alias("near"))
+
+
+    def hit(x: Column) -> Column:
+        window, out = F.concat(x["before"], F.lit("#"), x["after"]), F
+        for word, pattern in window_gates(table).items():
+            out = out.when(x["anchor"] == word, window.rlike(pattern))
+        return out
+
+    rows = rows.withColumn("at", at).select("doc_id", "n_words", F.filter(near, hit).alias("near"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
     names = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
@@ -182,6 +252,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     return rows.select("row", "doc_id", "n_words"), found
 
 
+def with_texts(found: DataFrame) -> DataFrame:
+    """``found`` with headers and clauses of license texts replaced by one
+    detection per header, at the header's words."""
+    part = F.split("label", ":")
+    order = Window.partitionBy("row").orderBy("first", F.desc("end"), "rule")
+    parts = (found.filter("kind in ('head', 'clause')").withColumn("family", part[0]).withColumn("part", part[1])
+             .withColumn("head", F.last(F.when(F.col("kind") == "head", F.struct("rule", "family", "priority", "confidence", "first", "end")),
+                                        ignorenulls=True).over(order))
+             .filter(f"head.family = family and first - head.first <= {SCOPE}"))
+    heads = parts.groupBy("row", "head").agg(F.collect_set("part").alias("parts"))
+    label = F
+    for family, clause, name in TEXT_LABELS:
+        label = label.when((F.col("head.family") == family) & F.array_contains("parts", clause or "head"), name)
+    texts = heads.select("row", "head.rule", label.alias("label"), F.lit("method").alias("kind"), "head.priority", "head.confidence", "head.first", "head.end")
+    return found.filter("kind in ('base', 'method')").unionByName(texts)
+
+
 def suppress(found: DataFrame) -> DataFrame:
     """Detections that lie in no other one; of equal intervals the one of the
     highest priority (then confidence, then rule order).  A running maximum of
@@ -196,7 +283,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_labels, labels, score, n_detections``; score is the highest confidence
     of the detections that stay."""
     rows, found = scan(docs, id_col, text_col, table)
-    found = cut(found)
+    found = with_texts(cut(found))
     names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     base = found.filter("kind = 'base'").groupBy("row").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("first").alias("first_word"), F.max("first").alias("last_word"), names("label").alias("base_labels"))
