@@ -112,10 +112,13 @@ def _close(distance: int):
 
 def linked_fingerprints(fps: DataFrame, distance: int = DISTANCE, bits: int = SEGMENT_BITS) -> DataFrame:
     """``fps(fp)``, distinct -> links ``(fp, to)`` that join every two
-    fingerprints within ``distance`` (at most 2) directly or over others."""
+    fingerprints within ``distance`` (at most 2) directly or over others.  The
+    fingerprints are written once, spread over all shuffle partitions: they are
+    few bytes, but every one becomes some 33 grid points."""
     if not 0 < distance <= 2:
         raise ValueError("grid points one step away cover a distance of 1 or 2")
-    points = fps.select("fp", F.explode(grid_points(F.col("fp"), bits)).alias("p"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = cut(fps.repartition(tasks, "fp")).select("fp", F.explode(grid_points(F.col("fp"), bits)).alias("p"))
     return gathered(cells(points, ["p"], "fp"), ["p"]).mapInArrow(_close(distance), "fp long, to long")
 
 
