@@ -17,7 +17,9 @@ are compared by exact cosine in double precision.
 
 Rows whose vector is null, empty, zero or has null or non-finite components,
 and vectors of different length, link with nothing.  Rows that share a
-``vec_id`` stay separate rows.
+``vec_id`` stay separate rows, linked like rows of different ids.  A row whose
+``vec_id`` is null links and is counted; its component is named by the smallest
+id that is not null, and is null (and the row kept) where there is none.
 """
 
 from __future__ import annotations

@@ -101,7 +101,7 @@ CUES = {"email": 0, "mail": 0, "e-mail": 0, "contact": 0, "ip": 1, "address": 1,
 _TESTS = [re.compile(p) for p in (
     r"[0-9]", r"@", r"[^@]+@[^@.]+\.[^@]+", r"[^@]+@[^@.]+", r"\+[0-9]{1,3}", r"\([0-9]{2,5}\)", r"[0-9]{3}[-.][0-9]{4}", r"\(?[0-9]{3}\)?[-.][0-9]{3}[-.][0-9]{4}",
     r"\+?[0-9]{9,11}", r"[0-9]{12,19}", r"[0-9]{4}", r"[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,4}", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", r"[0-9]{1,3}(\.[0-9]{1,3}){3}[:/][0-9]+",
-    r"[0-9]+", r"[0-9]{1,3}", r"[0-9]+\.[0-9]+(\.[0-9]+)?", r"[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}", r"[0-9a-f]{16,}", r".*[a-z].*[0-9].*|.*[0-9].*[a-z].*", r"[0-9]{20,}", r".*[=\"'{}<>].*")]
+    r"[0-9]+", r"[0-9]{1,3}", r"[0-9]+\.[0-9]+(\.[0-9]+)?", r"[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}", r"[0-9a-f]{16,}", r"(?=[^a-z]*[a-z])[^0-9]*[0-9].*", r"[0-9]{20,}", r".*[=\"'{}<>].*")]
 _MATCH = [t.search if i < 2 else t.fullmatch for i, t in enumerate(_TESTS)]
 N_TESTS = len(_TESTS) + 8                      # tests, cues (five kinds), check digits, octets, bias
 TRIM_L, TRIM_R = "\"'<[{*#$%&|", "\"'>]},;:!?.*#$%&|"
