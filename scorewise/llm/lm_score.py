@@ -6,7 +6,9 @@ mod ``FOLDS`` is not ``HELD``):
 
 1. Token counts over the whole corpus (tasks pre-aggregate; nothing is
    collected).  The commonest tokens, at most ``DICTIONARY`` by a cut on a
-   histogram of counts, form a dictionary that every task gets.
+   histogram of counts, and the model's own words form a dictionary that every
+   task gets.  It only saves joins: words outside it take their counts from the
+   count table, and no score depends on where the cut lies.
 2. Outputs of the neural model: the end, the ``WORDS`` commonest words, and
    ``CLASSES`` classes of all other words by their last letters.  The vector
    predicted from the three outputs before, ``sum_j R_j[context_j]``, is
@@ -129,9 +131,12 @@ def gather_corpus(learn: DataFrame, dictionary: int = DICTIONARY, words: int = W
             break
         floor_bin = r["bin"]
     top = counts.filter((bin_ >= floor_bin) | (F.col("token") == END) if floor_bin is not None else F.col("token") == END)
-    top = top.toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)        # at most ``dictionary`` rows and the end
-    tokens, freq = [bytes(t) for t in top.token], top.c.to_numpy(np.int64)
-    model = [t for t in tokens if t != END][:words]
+    # the model's own words are the commonest ones, also where the cut on the histogram leaves them out of the dictionary
+    best = counts.filter(F.col("token") != END).orderBy(F.desc("c"), "token").select("token", "c").limit(words).collect()
+    held = {bytes(r["token"]): r["c"] for r in [*best, *top.select("token", "c").collect()]}            # at most ``dictionary`` + ``words`` rows and the end
+    tokens = sorted(held, key=lambda t: (-held[t], t))
+    freq = np.array([held[t] for t in tokens], np.int64)
+    model = [bytes(r["token"]) for r in best]
     number = {END: 0} | {t: i + 1 for i, t in enumerate(model)}
     by_class = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
     class_total, once = np.zeros(CLASSES), np.zeros(CLASSES)
