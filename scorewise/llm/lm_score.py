@@ -28,11 +28,13 @@ mod ``FOLDS`` is not ``HELD``):
    words seen once (Good-Turing), is the chance of the one symbol that stands
    for all words never seen.  So the events are the known words and an unknown
    word of each class, as the base score has one unknown word.
-4. Scoring multiplies blocks of predicted vectors with all output vectors and
-   normalises each row, so the chances of the outputs add up to one.  Words
-   outside the dictionary join the count table by word; each is rarer than any
-   dictionary word, so no key is hot.
+4. Scoring normalises over all outputs, so that their chances add up to one.
+   ``exp(sum_j R_j[context_j] . Q_w + b_w)`` is a product of one factor for each
+   distance: a task makes the factors of every context and output once, and a
+   token costs products only.  Words outside the dictionary join the count table
+   by word; each is rarer than any dictionary word, so no key is hot.
 
+Tasks split and look up words by Arrow, a bounded number of bytes of text at a time.
 Whole texts are read.  A null text counts as empty: its only token is the end.
 A null doc_id is held out.  Rows that repeat a doc_id are scored each.
 Without learning documents, all counts are 0 and the model is untrained.
@@ -46,10 +48,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +64,8 @@ FOLDS, HELD = 7, 2
 DICTIONARY, WORDS, CLASSES, ORDER, DIM = 200_000, 191, 64, 3, 16
 NOISE, BATCH, RATE, SEED = 32, 1024, 0.15, 3
 PIECE, UNIT, ROUNDS, ADDERS = 2048, 1 << 18, 8, 32
-END = b""
+COUNTED, READ = 16_000_000, 4_000_000       # bytes of text that a task counts, reads at a time
+END, MARKS = b"", ".,;:!?\"')*#$%&|"
 
 
 def held_out(id_col):
@@ -69,36 +73,83 @@ def held_out(id_col):
 
 
 def word_class(word: bytes) -> int:
-    return zlib.crc32(word.rstrip(b".,;:!?\"')*#$%&|")[-2:] or word[-1:]) % CLASSES
+    return zlib.crc32(word.rstrip(MARKS.encode())[-2:] or word[-1:]) % CLASSES
+
+
+@cache
+def _endings() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all last bytes and of all pairs of last bytes."""
+    one = [zlib.crc32(bytes([a])) % CLASSES for a in range(256)]
+    two = [zlib.crc32(bytes([a, b])) % CLASSES for a in range(256) for b in range(256)]
+    return np.array(one), np.array(two)
+
+
+def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary array, the end and the length of each value."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at[1:], np.diff(at)
+
+
+def word_classes(words: pa.Array) -> np.ndarray:
+    """``word_class`` of each word of a binary array."""
+    out = np.full(len(words), word_class(END))
+    if not len(words):
+        return out
+    one, two = _endings()
+    data, end, size = _ends(words)
+    out[size > 0] = one[data[end[size > 0] - 1]]
+    data, end, size = _ends(pc.ascii_rtrim(words.view(pa.string()), characters=MARKS))
+    out[size == 1] = one[data[end[size == 1] - 1]]
+    end = end[size > 1]
+    out[size > 1] = two[data[end - 2].astype(np.int64) * 256 + data[end - 1]]
+    return out
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of the texts (binary), each text's followed by its end, and how many tokens each text has."""
+    low = pc.ascii_lower(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()))
+    low = low.view(pa.large_binary()).cast(pa.binary()).view(pa.string()) if pa.types.is_large_string(low.type) else low
+    parts = pc.ascii_split_whitespace(pc.binary_join_element_wise(low, " ", ""))       # the space leaves an empty word behind: the end
+    words, at = parts.flatten().view(pa.binary()), parts.offsets.to_numpy()
+    keep = pc.binary_length(words).to_numpy() > 0
+    keep[at[1:] - 1] = True
+    if keep.all():
+        return words, np.diff(at).astype(np.int64)
+    return words.filter(pa.array(keep)), np.add.reduceat(keep, at[:-1], dtype=np.int64)
+
+
+def portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end with the row that reaches ``size`` bytes of text."""
+    held, n = [], 0
+    for b in batches:
+        total, at = np.cumsum(pc.binary_length(b.column("text")).to_numpy().astype(np.int64) + 100), 0
+        while at < b.num_rows:
+            before = total[at - 1] if at else 0
+            to = min(int(np.searchsorted(total, before + size - n)) + 1, b.num_rows)
+            held.append(b.slice(at, to - at))
+            n += int(total[to - 1] - before)
+            at = to
+            if n >= size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 # ---------------------------------------------------------------------------
 # corpus counts
 # ---------------------------------------------------------------------------
-def _count(limit: int = 200_000):
-    def flush(c: Counter) -> pa.RecordBatch:
-        words = list(c)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([word_class(w) for w in words], pa.int32()), pa.array(list(c.values()), pa.int64())],
-            ["token", "cls", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for x in b.column("text"):
-                held.update(x.as_py().lower().split())
-                held[END] += 1
-                if len(held) > limit:
-                    yield flush(held)
-                    held = Counter()
-        if held:
-            yield flush(held)
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in portions(batches, COUNTED):
+        found = tokens_of(b.column("text"))[0].value_counts()
+        words, c = found.field("values"), found.field("counts")
+        yield pa.RecordBatch.from_arrays([words, pa.array(word_classes(words), pa.int32()), c.cast(pa.int64())], ["token", "cls", "c"])
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """``texts(text binary)`` -> ``token, cls, c``, one row per different token."""
-    return texts.mapInArrow(_count(), "token binary, cls int, c long").groupBy("token").agg(
+    return texts.mapInArrow(_count, "token binary, cls int, c long").groupBy("token").agg(
         F.first("cls").alias("cls"), F.sum("c").alias("c"))
 
 
@@ -192,20 +243,45 @@ class Model:
             r += self.ctx[j].take(before[j], 0)
         return r
 
-    def log_chances(self, before: np.ndarray, target: np.ndarray, block: int = 1024) -> np.ndarray:
+    def log_chances(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the normalised chance of each target."""
-        vec = np.ascontiguousarray(np.concatenate([self.vec, self.bias[:, None]], axis=1).T)
-        ones, out = np.ones(len(self.vec), np.float32), np.empty(len(target))
+        return Chances(self).logs(before, target)
+
+
+class Chances:
+    """Chances of all outputs as products: ``score[j][v, w]`` is what output v at
+    distance j + 1 adds to the score of w (the bias is in the first),
+    ``factor[j]`` its exponential, at most 1 by the shift ``top[j][v]``."""
+
+    def __init__(self, model: Model):
+        vec = model.vec.astype(np.float64).T
+        self.score = [c.astype(np.float64) @ vec for c in model.ctx]
+        self.score[0] += model.bias
+        self.top = [s.max(axis=1) for s in self.score]
+        self.factor = [np.exp(s - t[:, None]).astype(np.float32) for s, t in zip(self.score, self.top, strict=True)]
+
+    def logs(self, before: np.ndarray, target: np.ndarray, block: int = 1024) -> np.ndarray:
+        """Natural log of the normalised chance of each target."""
+        v = self.factor[0].shape[1]
+        ones, total = np.ones(v, np.float32), np.empty(len(target))
+        row, by = np.empty((2, min(block, len(target)), v), np.float32)
         for i in range(0, len(target), block):
-            r = self.predicted(before[:, i:i + block])
-            s = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1) @ vec
-            hit = np.take_along_axis(s, target[i:i + block, None], 1)[:, 0].astype(np.float64)
-            with np.errstate(over="ignore"):
-                total = np.exp(s) @ ones
-            if not np.isfinite(total).all() or not total.all():          # large scores: shift each row by its maximum
-                top = s.max(axis=1, keepdims=True)
-                hit, total = hit - top[:, 0], np.exp(s - top) @ ones
-            out[i:i + block] = hit - np.log(total)
+            here = before[:, i:i + block]
+            p, q = row[:here.shape[1]], by[:here.shape[1]]
+            self.factor[0].take(here[0], 0, p, "clip")
+            for j in range(1, ORDER):
+                p *= self.factor[j].take(here[j], 0, q, "clip")
+            total[i:i + block] = p @ ones
+        weak = np.flatnonzero(~(total > 1e-20))          # products near the smallest numbers: shift the sums instead
+        with np.errstate(divide="ignore"):
+            out = -np.log(total)
+        for i in range(0, len(weak), block):
+            w = weak[i:i + block]
+            s = sum(self.score[j][before[j, w]] - self.top[j][before[j, w], None] for j in range(ORDER))
+            high = s.max(axis=1)
+            out[w] = -high - np.log(np.exp(s - high[:, None]).sum(axis=1))
+        for j in range(ORDER):
+            out += self.score[j][before[j], target] - self.top[j][before[j]]
         return out
 
 
@@ -262,25 +338,27 @@ class Reader:
     """Texts to outputs and contexts."""
 
     def __init__(self, corpus: Corpus):
-        self.known, self.out, self.n_model = corpus.known, corpus.out, len(corpus.noise) - CLASSES
+        self.known, self.out, self.n_model = pa.array(list(corpus.known), pa.binary()), corpus.out, len(corpus.noise) - CLASSES
         self.start = len(corpus.noise)
 
-    def numbers(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Dictionary numbers of the tokens (-1: not in it), and the tokens."""
-        words = text.lower().split()
-        words.append(END)
-        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)), words
-
-    def outputs(self, num: np.ndarray, words: list[bytes]) -> np.ndarray:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Tokens of each text; of every token its output and its number in the dictionary (-1: not in it);
+        the words not in it, in their order."""
+        words, n = tokens_of(texts)
+        num = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
         out = self.out[num] if len(self.out) else np.zeros(len(num), np.int64)
-        for i in np.flatnonzero(num < 0):
-            out[i] = self.n_model + word_class(words[i]) if words[i] else 0
-        return out
+        rare = words.take(pa.array(np.flatnonzero(num < 0)))
+        out[num < 0] = np.where(pc.binary_length(rare).to_numpy() > 0, self.n_model + word_classes(rare), 0)
+        return n, out, num, rare
 
-    def contexts(self, outs: list[np.ndarray]) -> np.ndarray:
+    def contexts(self, n: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Outputs at distance 1 .. ORDER before each token of several texts."""
-        pad = np.full(ORDER, self.start)
-        return np.concatenate([np.stack([np.concatenate([pad, o])[ORDER - j:][:len(o)] for j in range(1, ORDER + 1)]) for o in outs], axis=1)
+        place = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        before = np.full((ORDER, len(out)), self.start)
+        for j in range(1, ORDER + 1):
+            at = np.flatnonzero(place >= j)
+            before[j - 1, at] = out[at - j]
+        return before
 
 
 def _slim(corpus: Corpus) -> Corpus:
@@ -299,9 +377,9 @@ def _pieces(corpus: Corpus, units: int, limit: int = 16_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, size = Reader(corpus), Counter(), 0
-        for b in batches:
-            for x in b.column("text"):
-                out = reader.outputs(*reader.numbers(x.as_py()))
+        for b in portions(batches, READ):
+            n, outs, _, _ = reader.read(b.column("text"))
+            for out in np.split(outs, np.cumsum(n)[:-1]):
                 out = np.concatenate([np.full(ORDER, reader.start), out]).astype("<u2")
                 for i in range(0, len(out) - ORDER, PIECE):
                     held[out[i:i + ORDER + PIECE].tobytes()] += 1
@@ -369,66 +447,42 @@ def train(learn: DataFrame, corpus: Corpus, unit_tokens: int = UNIT, min_rounds:
 _SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, lm double, token binary, n long, scale double, rest double"
 
 
-def _score(corpus: Corpus, model: Model, id_type: pa.DataType):
+def _score(corpus: Corpus, model: Model):
     corpus = _slim(corpus)
     log_all = np.log10(corpus.total + corpus.vocab + 1)
     log_base = np.log10(corpus.freq + 1.0)
     ln10 = np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, row = Reader(corpus), TaskContext.get().partitionId() << 40
-
-        def scored(texts: list[bytes], ids: list, held: list, row: int) -> pa.RecordBatch:
-            nums, outs, words = [], [], []
-            for t in texts:
-                num, w = reader.numbers(t)
-                nums.append(num)
-                outs.append(reader.outputs(num, w))
-                words.append(w)
-            n = np.array([len(o) for o in outs])
-            first = np.cumsum(n) - n
-            num, out = np.concatenate(nums), np.concatenate(outs)
-            lm = model.log_chances(reader.contexts(outs), out) / ln10
+        reader, chances, row = Reader(corpus), Chances(model), TaskContext.get().partitionId() << 40
+        for b in portions(batches, READ):
+            n, out, num, words = reader.read(b.column("text"))
+            lm = chances.logs(reader.contexts(n, out), out) / ln10
             inside = num >= 0
             if len(corpus.freq):
                 lm += np.where(inside, corpus.inside[num], 0) / ln10
                 base = np.where(inside, log_base[num] - log_all, 0)
             else:
                 base = np.zeros(len(num))
-            doc = np.repeat(np.arange(len(n)), n)
-            rare: Counter = Counter()
-            for i in np.flatnonzero(~inside):
-                rare[doc[i], words[doc[i]][i - first[doc[i]]]] += 1
-            r_doc = np.array([k for k, _ in rare], np.int64)
-            r_tok = [t for _, t in rare]
-            if r_tok:
-                cls = np.array([word_class(t) for t in r_tok])
-                unknown = np.where([t == END for t in r_tok], 1.0, corpus.unseen[cls])
-                scale = (1 - corpus.unseen[cls]) / np.maximum(corpus.class_total[cls], 1)
-            else:
-                unknown = scale = np.empty(0)
-            k, m = len(n), len(r_tok)
-            keys = [b" %d" % (row + i) for i in range(k)]                    # no word begins with a space
-            z = lambda a, fill, kind: pa.array([*a, *repeat(fill, m)], kind)
-            tail = lambda a, kind: pa.concat_arrays([pa.nulls(k, kind), pa.array(a, kind)])
-            sums = lambda a: np.bincount(doc, a, k)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([row + np.arange(k), row + r_doc])), z(ids, None, id_type), z(held, None, pa.bool_()),
-                z(n.tolist(), None, pa.int64()), z(sums((inside & (corpus.freq[num] > 0)) if len(corpus.freq) else inside).astype(int).tolist(), None, pa.int64()),
-                z(sums(base).tolist(), None, pa.float64()), z(sums(lm).tolist(), None, pa.float64()),
-                pa.array(keys + r_tok, pa.binary()), tail([*rare.values()], pa.int64()), tail(scale, pa.float64()), tail(unknown, pa.float64())],
+            k = len(n)
+            doc = np.repeat(np.arange(k), n)
+            rare = words.dictionary_encode()                                 # one row for each document and word outside the dictionary
+            kinds = max(1, len(rare.dictionary))
+            pair, often = np.unique(doc[~inside] * kinds + rare.indices.to_numpy(), return_counts=True)
+            r_tok, r_doc, m = rare.dictionary.take(pa.array(pair % kinds)), pair // kinds, len(pair)
+            cls = word_classes(r_tok)
+            unknown = np.where(pc.binary_length(r_tok).to_numpy() > 0, corpus.unseen[cls], 1.0)
+            scale = (1 - corpus.unseen[cls]) / np.maximum(corpus.class_total[cls], 1)
+            keys = pa.array([b" %d" % (row + i) for i in range(k)], pa.binary())                    # no word begins with a space
+            head = lambda a: pa.concat_arrays([a, pa.nulls(m, a.type)])  # noqa: E731, B023
+            tail = lambda a: pa.concat_arrays([pa.nulls(k, a.type), a])  # noqa: E731, B023
+            sums = lambda a: pa.array(np.bincount(doc, a, k))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.concatenate([np.arange(k), r_doc])), head(b.column("doc_id")), head(b.column("held_out")),
+                head(pa.array(n)), head(sums(inside).cast(pa.int64())), head(sums(base)), head(sums(lm)),
+                pa.concat_arrays([keys, r_tok]), tail(pa.array(often.astype(np.int64))), tail(pa.array(scale)), tail(pa.array(unknown))],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "token", "n", "scale", "rest"])
-
-        for b in batches:
-            ids, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-            at, size, texts = 0, 0, []
-            for i, x in enumerate(b.column("text")):
-                texts.append(x.as_py())
-                size += len(texts[-1])
-                if size >= 500_000 or i == b.num_rows - 1:
-                    yield scored(texts, ids[at:i + 1], held[at:i + 1], row)
-                    row += len(texts)
-                    at, size, texts = i + 1, 0, []
+            row += k
     return run
 
 
@@ -440,8 +494,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     corpus = gather_corpus(learn)
     model = train(learn, corpus, unit_tokens)
     schema = _SCORED.format(id=dict(rows.dtypes)["doc_id"])
-    from pyspark.sql.pandas.types import to_arrow_type
-    scored = rows.mapInArrow(_score(corpus, model, to_arrow_type(rows.schema["doc_id"].dataType)), schema)
+    scored = rows.mapInArrow(_score(corpus, model), schema)
     joined = scored.join(corpus.counts.select("token", "c"), "token", "left")
     c = F.coalesce("c", F.lit(0))
     joined = joined.select(
