@@ -64,7 +64,7 @@ FOLDS, HELD = 7, 2
 DICTIONARY, WORDS, CLASSES, ORDER, DIM = 200_000, 191, 64, 3, 16
 NOISE, BATCH, RATE, SEED = 32, 1024, 0.15, 3
 PIECE, UNIT, ROUNDS, ADDERS = 2048, 1 << 18, 8, 32
-COUNTED, READ = 16_000_000, 4_000_000       # bytes of text that a task counts, reads at a time
+COUNTED, READ = 8_000_000, 2_000_000       # bytes of text that a task counts, reads at a time
 END, MARKS = b"", ".,;:!?\"')*#$%&|"
 
 
